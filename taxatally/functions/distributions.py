@@ -34,9 +34,9 @@ _TAIL = (
 
 
 def _horner(x: str, coefficients: list[float]) -> str:
-    text = repr(coefficients[-1])
+    text = f"{coefficients[-1]:.17e}"
     for c in reversed(coefficients[:-1]):
-        text = f"({text} * {x} + {c!r})"
+        text = f"({text} * {x} + {c:.17e})"
     return text
 
 

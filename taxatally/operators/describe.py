@@ -21,8 +21,8 @@ def describe(df: DataFrame, value: str) -> DataFrame:
         F.stddev_samp(value).alias("sd"),
     )
     points = quantiles(df, value, {**FIVE, "q5": 0.05, "q95": 0.95})
-    field = {c: points.select(c).scalar() for c in points.columns}
-    return moments.select(
+    field = {c: F.col("points")[c] for c in points.columns}
+    return moments.withColumn("points", points.select(F.struct(*points.columns)).scalar()).select(
         "n",
         field["q0"].alias("minimum"),
         field["q100"].alias("maximum"),
@@ -79,10 +79,10 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
     """
     clean = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("value"))
     ends = clean.agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    low, high = ends.select("low").scalar(), ends.select("high").scalar()
     place = F.floor((F.col("value") - F.col("low")) * bins / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)))
     return (
-        clean.select("value", low.alias("low"), high.alias("high"))
+        clean.select("value", ends.select(F.struct("low", "high")).scalar().alias("ends"))
+        .select("value", "ends.low", "ends.high")
         .select(F.least(F.coalesce(place, F.lit(0)) + 1, F.lit(bins)).cast("int").alias("bin"))
         .groupBy("bin")
         .agg(F.count("*").alias("n"))

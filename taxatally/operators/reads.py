@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taxatally import fixed_values as fv
-from taxatally.functions.sequences import clip_start, letters, reverse_complement, trim_window
+from taxatally.functions.sequences import clip_start, letters, once, reverse_complement, trim_window
 
 
 def clip_primers(reads: DataFrame, bases: Column | int = fv.PRIMER_BASES) -> DataFrame:
@@ -31,7 +31,7 @@ def trim_reads(
 
     Reads already too short are dropped first: trimming only removes bases.
     """
-    rows = reads.where(F.length("seq") >= shortest).withColumn("_keep", trim_window("qual", quality, crop, window))
+    rows = reads.where(F.length("seq") >= shortest).select("*", once(trim_window("qual", quality, crop, window)).alias("_keep"))
     rows = rows.where(F.col("_keep.bases") >= shortest)
     return rows.withColumns(
         {
@@ -57,11 +57,14 @@ def pair_mates(reads: DataFrame) -> DataFrame:
 def best_overlap(shortest: int = 10, mismatch_share: float = 0.25) -> Column:
     """Overlap of mate 1's end with mate 2's reversed start that disagrees least; 0 for none.
 
-    Works on columns ``a`` and ``b``, the letters of both reads in the same direction. Among
-    overlaps with the same share of mismatches the longest wins.
+    Works on columns ``x`` and ``y``, both reads in the same direction, and ``a`` and ``b``,
+    their letters. Among overlaps with the same share of mismatches the longest wins. An
+    overlap without any mismatch cannot be beaten, so these are looked for first, by
+    comparing text; letters are only compared where there is none.
     """
-    size_a, size_b = F.size("a"), F.size("b")
-    longest = F.least(size_a, size_b)
+    size_a, longest = F.size("a"), F.least(F.size("a"), F.size("b"))
+    down = F.sequence(longest, F.lit(shortest), F.lit(-1))
+    exact = F.get(F.filter(down, lambda n: F.substring("x", size_a - n + 1, n) == F.substring("y", F.lit(1), n)), F.lit(0))
 
     def judged(n: Column) -> Column:
         tail, head = F.slice("a", size_a - n + 1, n), F.slice("b", F.lit(1), n)
@@ -69,9 +72,9 @@ def best_overlap(shortest: int = 10, mismatch_share: float = 0.25) -> Column:
         wrong = F.aggregate(differ, F.lit(0), lambda t, d: t + d)
         return F.struct((wrong / n).alias("share"), (-n).alias("minus"))
 
-    options = F.transform(F.sequence(F.lit(shortest), longest), judged)
-    best = F.array_min(F.filter(options, lambda o: o["share"] <= mismatch_share))
-    return F.when(longest >= shortest, F.coalesce(-best["minus"], F.lit(0))).otherwise(F.lit(0))
+    options = F.filter(F.transform(down, judged), lambda o: o["share"] <= mismatch_share)
+    found = F.coalesce(exact, -F.array_min(options)["minus"], F.lit(0))
+    return F.when(longest >= shortest, found).otherwise(F.lit(0))
 
 
 def merge_pairs(pairs: DataFrame, shortest: int = 10, mismatch_share: float = 0.25, forward_only: bool = True) -> DataFrame:
@@ -80,34 +83,32 @@ def merge_pairs(pairs: DataFrame, shortest: int = 10, mismatch_share: float = 0.
     Where mates disagree the base of higher quality stands. With ``forward_only`` pairs
     that do not overlap keep mate 1, as do its orphans; orphans of mate 2 are dropped.
     """
-    rows = pairs.where(F.col("seq1").isNotNull()).select(
-        "sample",
-        "read_id",
+    keys = ["sample", "read_id"]
+    turned = reverse_complement("seq2")
+    both = F.struct(
+        F.col("seq1").alias("x"),
+        turned.alias("y"),
         letters("seq1").alias("a"),
-        letters(reverse_complement("seq2")).alias("b"),
+        letters(turned).alias("b"),
         F.col("qual1").alias("qa"),
         F.reverse("qual2").alias("qb"),
     )
+    rows = pairs.where(F.col("seq1").isNotNull()).select(*keys, once(both).alias("_r")).select(*keys, "_r.*")
     n = F.when(F.col("b").isNotNull(), best_overlap(shortest, mismatch_share)).otherwise(F.lit(0))
-    rows = rows.withColumn("n", n)
+    rows = rows.select("*", once(n).alias("n"))
     lead = F.size("a") - F.col("n")
-
-    def joined(mine: str, other: str, pick) -> Column:
-        rest = F.slice(other, F.col("n") + 1, F.size(other))
-        return F.concat(F.slice(mine, F.lit(1), lead), pick, rest)
-
     places = F.sequence(F.lit(0), F.col("n") - 1)
     base = F.transform(
-        places,
-        lambda i: F.when(F.get("qb", i) > F.get("qa", lead + i), F.get("b", i)).otherwise(F.get("a", lead + i)),
+        places, lambda i: F.when(F.get("qb", i) > F.get("qa", lead + i), F.get("b", i)).otherwise(F.get("a", lead + i))
     )
     value = F.transform(places, lambda i: F.greatest(F.get("qa", lead + i), F.get("qb", i)))
+    seq = F.concat(F.substring(F.col("x"), F.lit(1), lead), F.array_join(base, ""), F.substring(F.col("y"), F.col("n") + 1, F.length("y")))
+    qual = F.concat(F.slice("qa", F.lit(1), lead), value, F.slice("qb", F.col("n") + 1, F.size("qb")))
     merged = F.col("n") > 0
     out = rows.select(
-        "sample",
-        "read_id",
-        F.when(merged, F.array_join(joined("a", "b", base), "")).otherwise(F.array_join("a", "")).alias("seq"),
-        F.when(merged, joined("qa", "qb", value)).otherwise(F.col("qa")).alias("qual"),
+        *keys,
+        F.when(merged, seq).otherwise(F.col("x")).alias("seq"),
+        F.when(merged, qual).otherwise(F.col("qa")).alias("qual"),
         merged.cast("int").alias("merged"),
     )
     return out if forward_only else out.where("merged = 1")

@@ -102,13 +102,13 @@ def _(t):
 
 
 @query("q12_funnel", L + TWO_MATES + TRIM + """, p AS (SELECT sample, read_id, COUNT(*) AS mates FROM trimmed GROUP BY 1, 2),
-m AS (SELECT * FROM trimmed WHERE mate = 1), k AS (SELECT sample, seq, COUNT(*) AS n FROM m GROUP BY 1, 2),
-a AS (SELECT sample, COUNT(*) AS total FROM both_raw GROUP BY 1),
-b AS (SELECT sample, SUM(CASE WHEN mates = 2 THEN 2 ELSE 0 END)::BIGINT AS trimmed_pe, COUNT(*) FILTER (WHERE mates = 1) AS trimmed_orphans FROM p GROUP BY 1),
-c AS (SELECT sample, COUNT(*) AS merged FROM m GROUP BY 1),
-d AS (SELECT sample, COUNT(*) AS clusters_total, COUNT(*) FILTER (WHERE n >= 3) AS clusters_above, SUM(CASE WHEN n >= 3 THEN n ELSE 0 END)::BIGINT AS queries FROM k GROUP BY 1)
+m AS (SELECT * FROM trimmed WHERE mate = 1), kc AS (SELECT sample, seq, COUNT(*) AS n FROM m GROUP BY 1, 2),
+ta AS (SELECT sample, COUNT(*) AS total FROM both_raw GROUP BY 1),
+tb AS (SELECT sample, SUM(CASE WHEN mates = 2 THEN 2 ELSE 0 END)::BIGINT AS trimmed_pe, COUNT(*) FILTER (WHERE mates = 1) AS trimmed_orphans FROM p GROUP BY 1),
+tc AS (SELECT sample, COUNT(*) AS merged FROM m GROUP BY 1),
+td AS (SELECT sample, COUNT(*) AS clusters_total, COUNT(*) FILTER (WHERE n >= 3) AS clusters_above, SUM(CASE WHEN n >= 3 THEN n ELSE 0 END)::BIGINT AS queries FROM kc GROUP BY 1)
 SELECT sample, total, COALESCE(trimmed_pe, 0) AS trimmed_pe, COALESCE(trimmed_orphans, 0) AS trimmed_orphans, COALESCE(merged, 0) AS merged, clusters_total, clusters_above, queries,
-COALESCE(trimmed_pe, 0) + COALESCE(trimmed_orphans, 0) AS trimmed_total FROM a LEFT JOIN b USING (sample) LEFT JOIN c USING (sample) LEFT JOIN d USING (sample)""")
+COALESCE(trimmed_pe, 0) + COALESCE(trimmed_orphans, 0) AS trimmed_total FROM ta LEFT JOIN tb USING (sample) LEFT JOIN tc USING (sample) LEFT JOIN td USING (sample)""")
 def _(t):
     both = stored(mates(t), "mates")
     trimmed = stored(rd.trim_reads(rd.clip_primers(both)), "trimmed")
@@ -247,8 +247,10 @@ def _(t):
     per = t.nation.join(t.customer, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     wide = per.groupBy("n_name", "n_regionkey").pivot("c_mktsegment", SEGMENTS).agg(F.count("c_custkey")).fillna(0)
     body = wide.select(F.concat_ws(",", "n_name", *SEGMENTS, F.concat(F.lit("root;"), "n_regionkey")).alias("value"))
-    top = small_table(t.spark, "value string", [["# exported,,,,,,"], ["OTU," + ",".join(f"{s}-nc.blast" for s in SEGMENTS) + ",taxomomy"]])
-    top.unionByName(body).coalesce(1).write.text(path)
+    header = "OTU," + ",".join(f"{s}-nc.blast" for s in SEGMENTS) + ",taxomomy"
+    top = small_table(t.spark, "value string, place int", [["# exported,,,,,,", 0], [header, 1]])
+    whole = top.unionByName(body.withColumn("place", F.lit(2)))
+    whole.repartition(1).sortWithinPartitions("place").select("value").write.text(path)
     return tables.read_count_table(t.spark, path).select("taxon", "sample", "reads", "lineage")
 
 

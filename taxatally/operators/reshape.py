@@ -12,7 +12,7 @@ from taxatally.functions.ids import level_index
 
 def melt(wide: DataFrame, ids: list[str], name: str = "taxon", value: str = "reads") -> DataFrame:
     """Wide to long; every column that is not an id becomes a row."""
-    return wide.unpivot(ids, [c for c in wide.columns if c not in ids], name, value)
+    return wide.unpivot(ids, [F.col(f"`{c}`") for c in wide.columns if c not in ids], name, value)
 
 
 def spread(

@@ -59,7 +59,7 @@ def read_count_table(spark: SparkSession, path: str, suffix: str = "-nc.blast")
     last = len(names) - 1
     sample_columns = [F.col(f"_c{i}").alias(names[i]) for i in range(1, last)]
     wide = rows.select(F.col("_c0").alias("taxon"), F.col(f"_c{last}").alias("lineage"), *sample_columns)
-    long = wide.unpivot(["taxon", "lineage"], names[1:last], "sample", "text")
+    long = wide.unpivot(["taxon", "lineage"], [F.col(f"`{n}`") for n in names[1:last]], "sample", "text")
     return long.select(strip_suffix("sample", suffix).alias("sample"), "taxon", to_count("text").alias("reads"), "lineage")
 
 

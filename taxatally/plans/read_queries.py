@@ -9,7 +9,7 @@ from taxatally.functions.sequences import letters, reverse_complement
 from taxatally.operators import assign, counts as ct, reads as rd
 from taxatally.plans.count_queries import COUNTS, RAWC, counted, raw
 from taxatally.plans.registry import Tables, query
-from taxatally.session import new_path, small_table, stored
+from taxatally.session import new_path, small_table, spread, stored
 from taxatally.sources import biom, fasta, genbank, manifest, tables
 
 ALPHABET, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
@@ -22,7 +22,7 @@ reads AS (SELECT sample, read_id, lang, doc_id, translate(word, '{ALPHABET}', '{
 
 
 def lines(t: Tables) -> DataFrame:
-    split = t.documents.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    split = spread(t.documents.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     word = F.regexp_replace(F.lower("line"), "[^a-z]", "")
     return split.select(F.col("source").alias("sample"), "lang", "doc_id", (F.col("doc_id") * 100000 + F.col("pos")).alias("read_id"), word.alias("word")).where("word <> ''")
 

@@ -300,8 +300,8 @@ def _(t):
     return reshape.spread(t.sql(LINES), "sample", "taxon", NAMES64)
 
 
-@query("r3_ordered_report", """SELECT n_name, level, ROUND(SUM(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 2) AS "F",
-ROUND(SUM(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 2) AS "O", ROUND(SUM(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 2) AS "P"
+@query("r3_ordered_report", """SELECT n_name, level, ROUND(COALESCE(SUM(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 0), 2) AS "F",
+ROUND(COALESCE(SUM(o_totalprice) FILTER (WHERE o_orderstatus = 'O'), 0), 2) AS "O", ROUND(COALESCE(SUM(o_totalprice) FILTER (WHERE o_orderstatus = 'P'), 0), 2) AS "P"
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
 JOIN (VALUES ('1-URGENT', 3), ('2-HIGH', 2), ('3-MEDIUM', 1)) v(name, level) ON o_orderpriority = name GROUP BY 1, 2""")
 def _(t):

@@ -280,6 +280,7 @@ def level_contrasts(df: DataFrame, y: str, group: str) -> DataFrame:
     number of pairs. The levels of a model term are few, so their means fit in one row and
     the pairs are formed inside it.
     """
+    factor(df, group)  # raises when there are too many levels for a model term
     clean = df.where(F.col(y).isNotNull() & F.col(group).isNotNull())
     means = clean.groupBy(F.col(group).alias("level")).agg(F.count("*").alias("n"), F.avg(y).alias("mean"))
     stats = means.select("level", logit("mean").alias("eta"), (1 / (F.col("n") * F.col("mean") * (1 - F.col("mean")))).alias("variance"))

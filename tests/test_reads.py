@@ -207,3 +207,12 @@ def test_manifest(spark, tmp_path):
 
 def test_reverse_complement(spark):
     assert spark.range(1).select(reverse_complement(F.lit("AACGTN"))).first()[0] == "NACGTT"
+
+
+def test_biom_over_many_lines(spark, tmp_path):
+    (tmp_path / "t.biom").write_text(
+        '{"id": "x", "rows": [\n {"id": "o1", "metadata": {"taxonomy": ["root", "a"]}},\n {"id": "o2", "metadata": null}],\n'
+        ' "columns": [{"id": "s1"}, {"id": "s2"}],\n "data": [[0, 0, 3], [1, 1, 4.0]]}\n'
+    )
+    got = {tuple(r) for r in biom.read_biom_file(spark, str(tmp_path / "t.biom")).select("otu", "sample", "reads").collect()}
+    assert got == {("o1", "s1", 3), ("o2", "s2", 4)}

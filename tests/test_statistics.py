@@ -99,3 +99,9 @@ def test_deletion_respects_nesting(spark):
     df = df.withColumn("half", F.when(F.col("sub").endswith("0"), "x").otherwise("y"))
     row = glm.deletion_tests(df, "y", terms).first()
     assert row["term"] == "kind:half" and row["df"] == 2 and 0 <= row["p"] <= 1
+
+
+def test_too_many_levels_for_a_term(spark):
+    df = spark.range(1200).select(F.col("id").cast("string").alias("g"), F.lit(0.5).alias("y"))
+    with pytest.raises(ValueError, match="more than 1000 levels"):
+        glm.level_contrasts(df, "y", "g")

@@ -41,7 +41,9 @@ KEYS, MINIMA = 6, 3
 #: Tokens that are ordered last, at most. The order decides on work, not on results.
 COMMON = 1 << 18
 #: Tokens after which a task looks for common ones, and the share of documents that makes one.
-STRETCH, SHARE, LEAST = 1 << 21, 256, 8
+STRETCH, SHARE, LEAST = 1 << 20, 256, 8
+#: Bytes of sets in a batch that leaves a task, and rows that a task holds before it passes them on.
+OUT, HOLD = 1 << 22, 1 << 17
 #: Buckets of doc_ids by which a scan drops most documents that it doesn't need; at most so many
 #: rows are broadcast.
 BUCKETS = 1 << 20
@@ -129,12 +131,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, lower: bool) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, found = [], []
-            for _, tokens, node in _sets(batch.column(0), n, lower):
+            nodes, found, held = [], [], 0
+            last = len(batch) - 1
+            for i, tokens, node in _sets(batch.column(0), n, lower):
                 if len(tokens):
                     nodes.append(node)
                     found.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "found"])
+                    held += tokens.nbytes
+                if held > OUT or i == last:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "found"])
+                    nodes, found, held = [], [], 0
 
     # At most BUCKETS rows, so the broadcast is bounded.
     near = docs.withColumn("bucket", _bucket()).join(F.broadcast(wanted.select("bucket").distinct()), "bucket", "left_semi")
@@ -211,7 +217,7 @@ def _postings(prefixes: DataFrame) -> DataFrame:
                 token = np.frombuffer(x.as_buffer(), np.uint64)
                 held.append((token, *(np.full(len(token), v[i]) for v in (star, low, high))))
                 rows += len(token)
-                if rows > 1 << 19:
+                if rows > HOLD:
                     yield flush()
                     rows = 0
         if held:
@@ -244,7 +250,7 @@ def _meetings(postings: DataFrame, percent: int) -> DataFrame:
                     a, b = np.minimum(star[x], star[y]), np.maximum(star[x], star[y])
                     least = -(-percent * (low[x] + low[y]) // (100 + percent)) + percent * -np.maximum(high[x], high[y]) // 100 + 1
                     held.append((a, b, token[x], np.maximum(least, 1)))
-                    if sum(len(h[0]) for h in held) > 1 << 20:
+                    if sum(len(h[0]) for h in held) > HOLD:
                         yield flush()
 
         def flush() -> pa.RecordBatch:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, ngram_join, quality, tokens
+from . import ann, bpe, line_dedup, mixing, ngram_join, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,19 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"), weights=(1, 2, 3), most=3)
 
 
+@op
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.pages(table(spark, folder, "pages"))
+
+
+ORACLES["op6_line_dedup"] = line_dedup.pages_sql()
+
+
+@op
+def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.divisible(table(spark, folder, "embeddings"))
+
+
 @op
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure(table(spark, folder, "documents"))

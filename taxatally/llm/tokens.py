@@ -30,7 +30,7 @@ from ..session import new_path
 
 SEGMENT = 1 << 18
 #: Words whose ids a Python worker remembers, and the longest of them; only saves work.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 _BLOCK = 64  # bytes of a bitmap between two entries of the rank directory
 
 
@@ -88,10 +88,15 @@ class Codes:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer of a file, and of each id whether its token ends a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+    ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+    return tokenizer, ends
 
 
 _KNOWN: dict[str, dict[str, bytes]] = {}
@@ -100,27 +105,48 @@ _KNOWN: dict[str, dict[str, bytes]] = {}
 class WordEncoder:
     """Encodes texts by their words, for tokenizers that treat blanks as ends of words only.
 
-    The ids of words seen before are remembered by the Python worker.
+    The ids of words seen before are remembered by the Python worker. Words of letters of the
+    Latin blocks, and such with one stop or comma behind, are encoded many in a call and told
+    apart by the tokens that end a word; all others go one by one.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
+        self.tokenizer, self.ends = _tokenizer(path)
         self.known = _KNOWN.setdefault(path, {"": b""})
 
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words; one by one if the ends of words don't come out as expected."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        last = np.cumsum([1 + (w[-1] in ".,") for w in words]) - 1
+        if len(cuts) != last[-1] + 1:
+            return self._one_by_one(words)
+        raw, stops = ids.tobytes(), (cuts[last] * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.known[""] = b""
-        known: dict[str, bytes] = {}  # long words, for this call only
+            # The words met first are the common ones.
+            for word in list(self.known)[REMEMBERED // 2 :]:
+                del self.known[word]
+        long: dict[str, bytes] = {}  # for this call only
         words = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = list(set().union(*words).difference(self.known))
-        for i in range(0, len(fresh), 2000):
-            part = fresh[i : i + 2000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (self.known if len(word) <= LONGEST else known)[word] = np.array(found.ids, dtype="<u4").tobytes()
-        if not known:
+        plain: list[str] = []
+        other: list[str] = []
+        for w in fresh:
+            (plain if (w.isalpha() or w[-1] in ".," and w[:-1].isalpha()) and max(w) < "\u0180" else other).append(w)
+        for part, encode in ((plain, self._together), (other, self._one_by_one)):
+            for i in range(0, len(part), 2000):
+                some = part[i : i + 2000]
+                for word, ids in zip(some, encode(some), strict=True):
+                    (self.known if len(word) <= LONGEST else long)[word] = ids
+        if not long:
             return [b"".join(map(self.known.__getitem__, w)) for w in words]
-        return [b"".join([known.get(x) or self.known.get(x, b"") for x in w]) for w in words]
+        return [b"".join([self.known[x] if x in self.known else long[x] for x in w]) for w in words]
 
 
 _LEVEL = "array<binary>"

@@ -13,7 +13,7 @@ from taxatally.session import new_path
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
     None, "", " ", "\n\n \t ", "a", "It's the  end of lines\x0b\x0c\r\n\r\nwe've", "<|endoftext|>", "x<|endoftext|>y <|startoftext|> z", "aaaaaaaaaaaaaaaaa" * 9,
-    "é ́x ẛ̣ ΑΣ ΌΣΟΣ İI ǅ ﬁ \x1c\x1f\x85 ﻿ ​", "日本語 テキスト 123٤५ ½ ²", "🎉👩‍👩‍👧‍👦 \U0001f1e6\U0001f1e7", "word " * 3000, "ab" * 4000, "'s't're've'm'll'd S'S", "tab\there \r x", "\x00\x01 \x7f",
+    "é ́x ẛ̣ ΑΣ ΌΣΟΣ İI ǅ ﬁ \x1c\x1f\x85 ﻿ ​", "日本語 テキスト 123٤५ ½ ²", "🎉👩‍👩‍👧‍👦 \U0001f1e6\U0001f1e7", "word " * 3000, "ab" * 4000, "'s't're've'm'll'd S'S", "tab\there \r x", "\x00\x01 \x7f", "plain words, with İstanbul. ÀÉÎ, ſ ŉ. ª º, a. B, c.. d., .e ,", "ﬀ ĳ Ĳ. straße STRASSE, x́ e\u0301.",
 ]
 
 

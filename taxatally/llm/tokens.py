@@ -150,27 +150,27 @@ class WordEncoder:
 
 
 _LEVEL = "array<binary>"
-SCHEMA = f"part int, seq int, n_tokens long, first_doc {{kind}}, last_doc {{kind}}, doc_ids array<{{kind}}>, starts array<long>, chunks {_LEVEL}, bits {_LEVEL}, ranks {_LEVEL}"
+SCHEMA = f"part int, inside long, n_tokens long, first_doc {{kind}}, last_doc {{kind}}, doc_ids array<{{kind}}>, starts array<long>, chunks {_LEVEL}, bits {_LEVEL}, ranks {_LEVEL}"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode ``text`` of every row and write the store to ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq, fields = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0, None
+        encode, part, inside = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], dtype="<u4").tobytes()
         ids: list[pa.Array] = []
         held: list[bytes] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
-            nonlocal seq
+            nonlocal inside
             lengths = np.array([len(x) // 4 for x in held])
             codes = Codes.of(np.frombuffer(b"".join(held), dtype="<u4"))
             doc_ids = pa.concat_arrays(ids)
-            row = [[part], [seq], [int(lengths.sum())], doc_ids.slice(0, 1), doc_ids.slice(len(doc_ids) - 1, 1), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), [(np.cumsum(lengths) - lengths).tolist()], [codes.chunks], [codes.bits], [codes.ranks]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), None, None, None, pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 3]
-            seq += 1
+            row = [[part], [inside], [int(lengths.sum())], doc_ids.slice(0, 1), doc_ids.slice(len(doc_ids) - 1, 1), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), [(np.cumsum(lengths) - lengths).tolist()], [codes.chunks], [codes.bits], [codes.ranks]]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), None, None, None, pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 3]
+            inside += int(lengths.sum())
             ids.clear()
             held.clear()
             return pa.RecordBatch.from_arrays([v if k is None else pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
@@ -200,15 +200,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 def open_store(spark: SparkSession, path: str) -> DataFrame:
     """The segments of a store with ``first_token``, the ids of all segments before.
 
-    The running sum over the table has one row per written part.
+    Each segment knows the ids before it in its part; the sum over parts has a row per part.
     """
     segments = spark.read.parquet(f"{path}/segments")
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toArrow()
     n = totals.column(1).to_numpy()
     before = spark.createDataFrame(pa.table({"part": totals.column(0), "before": pa.array(np.cumsum(n) - n, pa.int64())}))
-    inside = segments.select("part", "seq", "n_tokens").groupBy("part").agg(F.sort_array(F.collect_list(F.struct("seq", "n_tokens"))).alias("parts"))
-    running = inside.select("part", F.posexplode("parts").alias("i", "p"), "parts").select("part", "p.seq", F.expr("aggregate(slice(parts, 1, i), 0L, (s, x) -> s + x.n_tokens)").alias("inside"))
-    return segments.join(running, ["part", "seq"]).join(before, "part").withColumn("first_token", F.col("before") + F.col("inside")).drop("before", "inside")
+    return segments.join(before, "part").withColumn("first_token", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
 def documents(store: DataFrame) -> DataFrame:

@@ -1,10 +1,17 @@
-"""From raw documents to encoded training rows, in stages that each read what was written before."""
+"""From raw documents to encoded training rows, in stages that each read what was written before.
+
+Quality rules, lines that a source repeats on its documents, near copies (five words, similarity of
+0.8 or more; one document of each group stays), a mix of the sources by weight, and BPE.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from taxatally.llm import quality
+from taxatally.llm import bpe, line_dedup, mixing, ngram_join, quality
+from taxatally.session import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -12,14 +19,43 @@ def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     return quality.passing(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def line_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without the lines that more than a tenth of their source's documents hold."""
+    out = line_dedup.drop_boilerplate(docs, F.col("source"))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one(docs, n=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mix(docs, weights=(1, 2, 3), most=3)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every document of the mix."""
+    rows = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return rows.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_copy_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", bpe_stage),
+]
 
-#: Tokenizers and draws that depend on each other cannot be said in SQL.
+#: The draws of the mix and the tokenizer cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages over ``documents``; what a stage gives is written before the next reads it."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, folder)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, folder), name.split()[0])
+    return STAGES[-1][1](spark, docs, folder)

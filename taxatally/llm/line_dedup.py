@@ -95,7 +95,7 @@ def pages_sql(ratio: float = RATIO, least: int = LEAST) -> str:
     often AS (SELECT c.host, trim(line) AS line FROM cut c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE trim(line) <> ''
               GROUP BY c.host, trim(line), t.pages HAVING count(DISTINCT text) >= {least} AND count(DISTINCT text) > {ratio}::DOUBLE * t.pages),
     marked AS (SELECT c.*, o.line IS NOT NULL AS bad FROM cut c LEFT JOIN often o ON c.host IS NOT DISTINCT FROM o.host AND trim(c.line) = o.line),
-    joined AS (SELECT row_no, count(*) FILTER (trim(line) <> '') AS n_lines, count(*) FILTER (trim(line) <> '' AND NOT bad) AS n_kept,
-                      coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT bad), '') AS text FROM marked GROUP BY row_no)
+    joined AS (SELECT row_no, count(*) FILTER (WHERE trim(line) <> '') AS n_lines, count(*) FILTER (WHERE trim(line) <> '' AND NOT bad) AS n_kept,
+                      coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT bad), '') AS text FROM marked GROUP BY row_no)
     SELECT n.page_id, n.host, coalesce(j.n_lines, 0) AS n_lines, coalesce(j.n_kept, 0) AS n_kept, j.text
     FROM numbered n LEFT JOIN joined j USING (row_no)"""

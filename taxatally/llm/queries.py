@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, line_dedup, mixing, ngram_join, quality, tokens, toxicity
+from . import ann, bpe, chat, line_dedup, mixing, ngram_join, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,11 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@op
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.conversations(table(spark, folder, "conversations"))
+
+
+ORACLES["op10_chat"] = chat.SQL

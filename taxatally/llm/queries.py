@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, line_dedup, mixing, ngram_join, quality, tokens, toxicity
+from . import ann, bpe, chat, line_dedup, mixing, ngram_join, passages, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents"), weights=(1, 2, 3), most=3)
 
 
+@op
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeats(table(spark, folder, "documents"))
+
+
 @op
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.pages(table(spark, folder, "pages"))

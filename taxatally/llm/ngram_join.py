@@ -4,17 +4,19 @@ Two documents link when ``100 * shared >= percent * union`` of their shingle set
 between different sets count; only the classes they make are returned, so a group of copies
 costs one row each and no pair of a group is written out without need.
 
-1. Equal sets are one node. Nodes that agree in some of their minima are compared with the
-   smallest node of that agreement; those that link become members of its star.
+1. Equal sets are one node. Nodes that agree in some of their minima are compared with the node
+   that agrees with the most others; those near enough become members of its star.
 2. Index lists: each set enters the lists of its prefix, the tokens among which every partner
    must share some. Tokens that are common in any stretch of the table are ordered last. A star
    enters a list once for all its members. A list is ordered by size and skipped by blocks: once
    a partner is too large, so are all behind it. A pair goes on only if it shares as many prefix
    tokens as its sizes demand.
-3. Answers from answers: the centres of two stars are compared. If they link, their members'
-   answers follow. If they don't, a member's partners lie within the centre's distance, less
-   the member's own, so only members near enough are compared, and only where the classes found
-   so far don't hold the answer.
+3. Answers from answers: what a member has and its centre has not, and the other way round, is
+   its difference. Two members differ by what their differences don't share, so all links inside
+   a star follow from these short sets, in blocks of members. For two stars that meet the
+   centres are compared; partners lie within the centres' distance, less the members' own, so
+   only members near enough are compared, and only where the classes found so far don't hold
+   the answer.
 
 Texts without words have no shingles and link with nothing. Null texts count as empty. Rows
 with a null doc_id take part; they take the smallest doc_id of their class, null if there is
@@ -42,6 +44,9 @@ KEYS, MINIMA = 6, 3
 COMMON = 1 << 18
 #: Tokens after which a task looks for common ones, and the share of documents that makes one.
 STRETCH, SHARE, LEAST = 1 << 20, 256, 8
+#: Similarity to the centre, in percent, from which a node is a member of its star, and members in
+#: a block. A star of many blocks costs as many block pairs.
+NEAR, BLOCK = 60, 1024
 #: Bytes of sets in a batch that leaves a task, and rows that a task holds before it passes them on.
 OUT, HOLD = 1 << 22, 1 << 17
 #: Buckets of doc_ids by which a scan drops most documents that it doesn't need; at most so many
@@ -149,25 +154,88 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, lower: bool) -> DataFra
 
 
 def _compared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, lower: bool) -> DataFrame:
-    """``a, b, shared, size_a, size_b`` of distinct pairs ``a, b``, from the whole sets; stored."""
+    """``a, b, shared, size_a, size_b`` of distinct pairs ``a, b``, from the whole sets; stored.
+
+    ``differ`` holds the tokens of one set only, as bytes, where the sets are near.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shared, left, right = [], [], []
+            shared, left, right, differ = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                shared.append(int((y[at] == x).sum()))
+                both = int((y[at] == x).sum())
+                shared.append(both)
                 left.append(len(x))
                 right.append(len(y))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (shared, left, right))], ["a", "b", "shared", "size_a", "size_b"])
+                near = 100 * both >= NEAR * (len(x) + len(y) - both)
+                differ.append(np.setxor1d(x, y, assume_unique=True).tobytes() if near else None)
+            columns = [*(pa.array(v, pa.int64()) for v in (shared, left, right)), pa.array(differ, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "shared", "size_a", "size_b", "differ"])
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stored(ends.join(nodes, "node").select("node", "bucket"), "wanted")
     sets = _sets_of(docs, wanted, n, lower)
     first = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     both = first.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(run, "a long, b long, shared long, size_a long, size_b long"), "compared")
+    return stored(both.mapInArrow(run, "a long, b long, shared long, size_a long, size_b long, differ binary"), "compared")
+
+
+def _linked_members(sizes: np.ndarray, differ: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of each member the first one of its class, among the members of a block pair."""
+    count = np.array([len(x) for x in differ])
+    owner, tokens = np.repeat(np.arange(len(differ)), count), np.concatenate(differ)
+    _, place, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    column = np.cumsum(often > 1) - 1  # tokens of one member only are shared with none
+    keep = often[place] > 1
+    owner, place = owner[keep], column[place[keep]]
+    shared = np.zeros((len(differ), len(differ)), dtype=np.float32)
+    for first in range(0, int((often > 1).sum()), 2048):
+        part = (place >= first) & (place < first + 2048)
+        held = np.zeros((len(differ), 2048), dtype=np.float32)
+        held[owner[part], place[part] - first] = 1
+        shared += held @ held.T
+    apart = count[:, None] + count[None] - 2 * shared.astype(np.int64)
+    link = (100 + percent) * apart <= (100 - percent) * (sizes[:, None] + sizes[None])
+    label = np.arange(len(differ))
+    while True:
+        low = np.where(link, label[None], len(label)).min(axis=1)
+        low = np.minimum(low, label)[np.minimum(low, label)]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _inside(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` that hold the classes of the members of each star, from their differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            nodes = np.array([r[0] for r in rows])
+            label = _linked_members(np.array([r[1] for r in rows]), [r[2] for r in rows], percent)
+            other = label != np.arange(len(label))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[label[other]], pa.int64()), pa.array(nodes[other], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            star, x, y, node, size = (batch.column(i).to_pylist() for i in range(5))
+            for i, key in enumerate(zip(star, x, y, strict=True)):
+                if key != now:
+                    if len(rows) > 1:
+                        yield done()
+                    now, rows = key, []
+                rows.append((node[i], size[i], np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)))
+        if len(rows) > 1:
+            yield done()
+
+    count = members.groupBy("star").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = members.join(count, "star").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.filter("blocks = 1 or own <> other").select("star", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "size", "differ")
+    ordered = dealt.repartition("star", "x", "y").sortWithinPartitions("star", "x", "y")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, n: int, lower: bool) -> DataFrame:
@@ -294,17 +362,24 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
         "nodes",
     )
 
-    # Stars: each node against the smallest one that it agrees with.
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    candidates = keyed.join(least, "key").filter("node > a").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a")).select("a", "b")
-    stars = _compared(docs, stored(candidates, "candidates"), nodes, n, lower).filter(link)
+    # Stars: each node against the one, among those it agrees with, that agrees with the most
+    # others. Among copies with changes of their own that is the one nearest to them all.
+    keyed = stored(nodes.select("node", F.explode("keys").alias("key")), "keyed")
+    often = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    agreed = keyed.join(often, "key")
+    weights = agreed.groupBy("node").agg(F.sum("n").alias("weight"))
+    agreed = stored(agreed.select("node", "key").join(weights, "node").select("node", "key", F.struct("weight", "node").alias("rank")), "agreed")
+    best = agreed.groupBy("key").agg(F.max("rank").alias("best"))
+    candidates = agreed.join(best, "key").filter("best > rank").groupBy(F.col("node").alias("b")).agg(F.max("best").alias("best")).select(F.col("best.node").alias("a"), "b")
+    stars = _compared(docs, stored(candidates, "candidates"), nodes, n, lower)
+    near = stars.filter("differ is not null")
     # Only a node that hangs on no other may be a centre; members keep their distance to it.
     members = stored(
-        stars.join(stars.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        .select(F.col("b").alias("node"), F.col("a").alias("star"), F.expr("size_a + size_b - 2 * shared").alias("distance"), F.col("size_b").alias("size")),
+        near.join(near.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        .select(F.col("b").alias("node"), F.col("a").alias("star"), F.expr("size_a + size_b - 2 * shared").alias("distance"), F.col("size_b").alias("size"), "differ"),
         "members",
     )
+    inside = stored(_inside(members, percent), "inside")
     widths = members.groupBy("star").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("distance").alias("radius"))
     centres = widths.join(nodes.select(F.col("node").alias("star"), "size"), "star").select("star", F.least("low", "size").alias("low"), F.greatest("high", "size").alias("high"), "radius")
     belongs = members.select("node", "star").union(centres.select(F.col("star").alias("node"), "star"))
@@ -314,28 +389,29 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
     prefixes = prefixes.select(*(F.coalesce(x, F.col(y)).alias(x) for x, y in (("star", "node"), ("low", "size"), ("high", "size"))), "tokens")
     meetings = stored(_meetings(_postings(prefixes), percent), "meetings")
     met = _compared(docs, meetings, nodes, n, lower)
-    links = stars.select("a", "b").union(met.filter(link).select("a", "b"))
+    links = stars.filter(link).select("a", "b").union(inside).union(met.filter(link).select("a", "b"))
     found = stored(components(links), "found")
 
-    # Members of two stars whose centres don't link, where their distances leave room for a link.
+    # Members of two stars that meet, where their distances leave room for a link.
     star = in_star.filter("node = star").select("star", "high", "radius")
     ends = lambda side: star.select(F.col("star").alias(side), F.col("high").alias(f"high_{side}"), F.col("radius").alias(f"radius_{side}"))
-    roots = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
-    open_ = met.filter(f"not ({link})").join(ends("a"), "a", "left").join(ends("b"), "b", "left").filter("radius_a is not null or radius_b is not null")
-    open_ = open_.join(roots("a"), "a", "left").join(roots("b"), "b", "left").filter("coalesce(root_a, a) <> coalesce(root_b, b)")
+    open_ = met.join(ends("a"), "a", "left").join(ends("b"), "b", "left").filter("radius_a is not null or radius_b is not null")
     open_ = open_.withColumn("gap", F.expr("size_a + size_b - 2 * shared")).filter(
         f"({100 + percent}) * (gap - coalesce(radius_a, 0) - coalesce(radius_b, 0)) <= {100 - percent} * (coalesce(high_a, size_a) + coalesce(high_b, size_b))"
     )
     open_ = open_.select(F.col("a").alias("star_a"), F.col("b").alias("star_b"), "gap", "size_a", "size_b")
-    inside = members.select("star", "node", "distance", "size")
-    side = lambda x: inside.select(F.col("star").alias(f"star_{x}"), F.col("node").alias(f"m_{x}"), F.col("distance").alias(f"d_{x}"), F.col("size").alias(f"s_{x}"))
-    own = lambda x: open_.select(f"star_{x}", F.col(f"star_{x}").alias(f"m_{x}"), F.lit(0).cast("long").alias(f"d_{x}"), F.col(f"size_{x}").alias(f"s_{x}")).distinct()
-    wide = open_.join(side("a").union(own("a")), "star_a").join(side("b").union(own("b")), "star_b")
-    near = wide.filter(f"({100 + percent}) * (gap - d_a - d_b) <= {100 - percent} * (s_a + s_b)").filter("(m_a, m_b) <> (star_a, star_b)")
-    near = near.filter(f"{percent} * greatest(s_a, s_b) <= 100 * least(s_a, s_b)")
-    near = stored(near.select(F.least("m_a", "m_b").alias("a"), F.greatest("m_a", "m_b").alias("b")).distinct(), "near")
-    if not near.isEmpty():
-        more = _compared(docs, near, nodes, n, lower).filter(link).select("a", "b")
+    rooted = members.join(found, "node", "left").select("star", "node", "distance", "size", F.coalesce("root", "node").alias("root"))
+    named = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("star", "node", "distance", "size", "root")]
+    centre = lambda x: open_.select(F.col(f"star_{x}").alias("node"), F.col(f"size_{x}").alias("size")).distinct().join(found, "node", "left").select(
+        F.col("node").alias("star"), "node", F.lit(0).cast("long").alias("distance"), "size", F.coalesce("root", "node").alias("root")
+    )
+    side = lambda x: rooted.union(centre(x)).select(*named(x))
+    wide = open_.select("star_a", "star_b", "gap").join(side("a"), "star_a").join(side("b"), "star_b").filter("root_a <> root_b")
+    wide = wide.filter(f"({100 + percent}) * (gap - distance_a - distance_b) <= {100 - percent} * (size_a + size_b)").filter("node_a <> star_a or node_b <> star_b")
+    wide = wide.filter(f"{percent} * greatest(size_a, size_b) <= 100 * least(size_a, size_b)")
+    wide = stored(wide.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "wide")
+    if not wide.isEmpty():
+        more = _compared(docs, wide, nodes, n, lower).filter(link).select("a", "b")
         found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
     return profiles.join(found, "node", "left").select("doc_id", "row", F.col("size").alias("n_shingles"), "node", F.coalesce("root", F.col("node")).alias("root"))
 

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from taxatally.llm import ngram_join
 from taxatally.llm.components import components
 from taxatally.llm.ngram_join import keep_one, linked
 
@@ -77,6 +78,27 @@ def made_rows():
     return rows
 
 
+def family(first, size=150, copies=60):
+    """Copies with many changes each: some link, most only nearly."""
+    words, rows = base(700 + first, size), []
+    for copy in range(copies):
+        changed = list(words)
+        for c in range(1 + copy % 4):
+            changed[(copy * 37 + c * 29 + copy * c) % size] = f"f{first}y{copy}z{c}"
+        rows.append((first + copy, " ".join(changed)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_family_of_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = [*family(0), *family(1000, 90, 40)]
+    got = linked(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    want = brute(rows, 4, 85)
+    assert 4 < len({c for _, _, c in want}) < 60
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (2, 60)])
 def test_small_table(spark, n, percent):
     rows = made_rows()

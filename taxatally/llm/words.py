@@ -91,10 +91,10 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         base = starts[first]
         last = max(first + 1, int(np.searchsorted(ends, base + PIECE, "right")))
         part = data[base : ends[last - 1]]
-        up, down = _Powers.of(len(part))
+        up, down = _Powers.of(len(part) + 1)
         total = np.empty(len(part) + 1, dtype=np.uint64)
         total[0] = 0
-        np.cumsum(table[part] * up, out=total[1:])
+        np.cumsum(table[part] * up[:-1], out=total[1:])
         a, b = starts[first:last] - base, ends[first:last] - base
         out[first:last] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
         first = last

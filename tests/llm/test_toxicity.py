@@ -63,6 +63,8 @@ def test_counterfactual_penalty(spark):
 def test_words_and_odd_rows(spark):
     a, b = (np.concatenate([toxicity.trimmed_hashes(p) for p in pieces(pa.array([t]))]) for t in ('Stupid, (IDIOT)! "x" ...  Été', "stupid idiot x - Été"))
     assert (a == b).all() and a[3] == 0
+    for text in ("...", "a ...", "... a", "- -"):
+        assert len(np.concatenate([toxicity.trimmed_hashes(p) for p in pieces(pa.array([text]))])) == len(text.split())
     docs = spark.createDataFrame([(1, None, 3.0), (1, None, 3.0), (None, "bad", 1.0), (2, "", 0.0), (3, "bad " * 50_000, 1.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, None), (None, 1), (3, 7), (3, 1), (3, 0)], "doc_id long, toxic int")
     out = toxicity.score(docs, toxicity.train(docs, labels)).collect()

@@ -116,15 +116,26 @@ def _(t):
 
 
 # ---------------------------------------------------------------- assignment
-REFS = L + """, q AS (SELECT DISTINCT sha256(seq) AS query, seq FROM reads WHERE length(seq) >= 30),
+REFS = L + """, q AS (SELECT DISTINCT sha256(seq) AS query, seq FROM reads),
 refs AS (SELECT read_id AS ref, seq, [lang, sample, CAST(reads.doc_id AS VARCHAR)] AS lineage FROM reads JOIN {labels} ON labels.doc_id = reads.doc_id WHERE quality = 1)"""
-HITS = """, both_refs AS (SELECT ref, 1 AS strand, seq FROM refs UNION ALL SELECT ref, -1, reverse(translate(seq, 'acgt', 'tgca')) FROM refs),
-rk AS (SELECT ref, strand, unnest(range(1, length(seq) - 14)) AS rpos, seq FROM both_refs WHERE length(seq) >= 16),
-qk AS (SELECT query, unnest(range(1, length(seq) - 14)) AS qpos, seq FROM q),
-cand AS (SELECT DISTINCT query, ref, strand, rpos - qpos AS diag, qk.seq AS qs, rk.seq AS rs FROM qk JOIN rk ON qk.seq[qpos:qpos + 15] = rk.seq[rpos:rpos + 15]),
+# Distinct sequences are compared once. From 20 bases on a match holds 16 equal bases in a row
+# (24 compared positions without mismatch, 33 between two, and so on); below that none may differ,
+# so the shorter of the two lies in the other, or an end of one is an end of the other.
+HITS = """, rs AS (SELECT DISTINCT seq FROM refs), sides AS (SELECT seq AS fwd, seq FROM rs UNION ALL SELECT seq, reverse(translate(seq, 'acgt', 'tgca')) FROM rs),
+rk AS (SELECT fwd, unnest(range(1, length(seq) - 14)) AS rpos, seq FROM sides WHERE length(seq) >= 16),
+qk AS (SELECT query, unnest(range(1, length(seq) - 14)) AS qpos, seq FROM q WHERE length(seq) >= 20),
+cand AS (SELECT DISTINCT query, fwd, rpos - qpos AS diag, qk.seq AS qs, rk.seq AS rs FROM qk JOIN rk ON qk.seq[qpos:qpos + 15] = rk.seq[rpos:rpos + 15]),
 ov AS (SELECT *, greatest(0, -diag) AS st, least(length(qs), length(rs) - diag) - greatest(0, -diag) AS al FROM cand),
-ok AS (SELECT query, ref, al, len(list_filter(range(1, al + 1), lambda i: qs[st + i] = rs[st + diag + i])) / al AS idn FROM ov WHERE al >= 0.8 * length(qs)),
-hits AS (SELECT query, ref, MAX(idn) AS identity FROM ok WHERE idn >= 0.98 GROUP BY 1, 2)"""
+ok AS (SELECT query, fwd, len(list_filter(range(1, al + 1), lambda i: qs[st + i] = rs[st + diag + i])) / al AS idn FROM ov WHERE al >= 0.8 * length(qs)),
+small AS (SELECT query, seq FROM q WHERE length(seq) < 20),
+part AS (SELECT query, seq, unnest(range(CAST(ceil(0.8 * length(seq)) AS BIGINT), length(seq))) AS m FROM small),
+tip AS (SELECT DISTINCT fwd, seq, unnest(range(1, least(20, length(seq) + 1))) AS m FROM sides),
+close AS (SELECT query, fwd FROM small JOIN sides ON contains(sides.seq, small.seq)
+  UNION SELECT query, fwd FROM small JOIN sides ON length(sides.seq) < length(small.seq) AND length(sides.seq) >= 0.8 * length(small.seq) AND contains(small.seq, sides.seq)
+  UNION SELECT query, fwd FROM part JOIN tip ON part.m = tip.m AND right(part.seq, part.m) = left(tip.seq, tip.m)
+  UNION SELECT query, fwd FROM part JOIN tip ON part.m = tip.m AND left(part.seq, part.m) = right(tip.seq, tip.m)),
+best AS (SELECT query, fwd, MAX(idn) AS identity FROM (SELECT * FROM ok WHERE idn >= 0.98 UNION ALL SELECT query, fwd, 1.0 FROM close) GROUP BY 1, 2),
+hits AS (SELECT query, ref, identity FROM best JOIN refs ON refs.seq = best.fwd)"""
 
 
 def line_queries(t: Tables) -> DataFrame:

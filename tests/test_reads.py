@@ -75,14 +75,16 @@ def test_dereplicate_and_funnel(spark):
     assert kept.select("otu").distinct().count() == 1
 
 
-def brute(query, ref, identity=0.98, coverage=0.8):
+def brute(query, ref, identity=0.98, coverage=0.8, anchor=4):
     best = None
     for diag in range(-len(query), len(ref)):
         start = max(0, -diag)
         n = min(len(query), len(ref) - diag) - start
         if n >= coverage * len(query) and n > 0:
-            share = sum(query[start + i] == ref[start + diag + i] for i in range(n)) / n
-            if share >= identity:
+            pairs = [(query[start + i], ref[start + diag + i]) for i in range(n)]
+            share = sum(x == y or x not in "acgt" or y not in "acgt" for x, y in pairs) / n
+            equal = "".join("=" if x == y and x in "acgt" else "." for x, y in pairs)
+            if share >= identity and "=" * min(anchor, n) in equal:
                 best = max(best or (0, 0), (share, n))
     return best
 
@@ -121,6 +123,24 @@ def test_search_finds_every_match(spark):
     assert got == want and len(want) > 20
 
 
+def test_search_of_short_and_ambiguous_queries(spark):
+    refs = {f"r{i}": dna(90) for i in range(4)}
+    refs |= {"copy": refs["r0"], "few": refs["r1"][:40] + "n" + refs["r1"][41:80] + "ry", "run": dna(30) + "n" * 25 + dna(30), "tiny": "acg", "holes": "".join(c if i % 9 else "n" for i, c in enumerate(refs["r2"]))}
+    asked = {f"s{n}": refs["r3"][7 : 7 + n] for n in range(1, 30)} | {f"h{n}": dna(2) + refs["r0"][: n] for n in (8, 12, 20)}
+    asked |= {"every12": "".join(c if i % 12 else "n" for i, c in enumerate(refs["r2"])), "nrun": refs["r1"][:30] + "n" * 12 + refs["r1"][42:60], "all": "n" * 20, "one": "N", "upper": refs["r3"][5:25].upper(), "none": "", "mixed": refs["r0"][10:16] + "nnn" + refs["r0"][19:27]}
+    asked |= {f"wrong{n}": refs["r1"][20 : 20 + n] + "acgt"["cgta".index(refs["r1"][20 + n])] + refs["r1"][21 + n : 69] for n in (3, 24, 40)}
+    rdf = small_table(spark, "ref string, seq string", refs.items())
+    qdf = small_table(spark, "query string, seq string", asked.items())
+    got = {(r["query"], r["ref"]): (round(r["identity"], 9), r["aligned"]) for r in assign.search(qdf, rdf).collect()}
+    want = {}
+    for q, qs in asked.items():
+        for r, rs in refs.items():
+            found = [b for b in (brute(qs.lower(), rs), brute(qs.lower(), turn(rs).translate(str.maketrans("ry", "yr")))) if b]
+            if found:
+                want[(q, r)] = (round(max(found)[0], 9), max(found)[1])
+    assert got == want and {q for q, _ in want} >= {"s1", "s5", "s29", "every12", "nrun", "mixed"}
+
+
 def test_two_passes(spark):
     refs = references()
     asked = queries(refs)

@@ -93,7 +93,8 @@ def captive_parts(sample: str) -> Column:
         [*fv.SAMPLE_NUMBER_LABELS, ("BEAV", "ZOO")],
         F.get(tokens, F.lit(1)),
     )
-    return F.struct(enclosure.alias("enclosure"), number.alias("sample_no"))
+    location = F.regexp_extract(F.col(sample) if isinstance(sample, str) else sample, "(HWP|WWT)", 1)
+    return F.struct(enclosure.alias("enclosure"), number.alias("sample_no"), location.alias("location"))
 
 
 def enclosure_lifestyle(enclosure: Column | str) -> Column:

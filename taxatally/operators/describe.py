@@ -46,15 +46,15 @@ def extreme_rows(df: DataFrame, value: str, highest: bool = True) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """Per column: type, nulls, distinct values and, for numbers, min, mean and max.
+    """Per column: type, nulls, distinct values and, for numbers, min, quartiles, mean and max.
 
-    All figures of all columns come from one pass with one wide aggregation, except exact
-    distinct counts, which Spark plans per column in the same job.
+    Distinct values are counted as rows ``(column, value)`` that are made distinct first, so
+    the table is written out once for all its columns. Quartiles are exact.
     """
     fields = df.schema.fields
+    numbers = [f.name for f in fields if isinstance(f.dataType, NumericType)]
     stats = {
         "nulls": lambda c, num: F.count_if(F.col(c).isNull()),
-        "distinct_values": lambda c, num: F.count_distinct(F.col(c)),
         "minimum": lambda c, num: F.min(F.col(c).cast("double")) if num else F.lit(None).cast("double"),
         "mean": lambda c, num: F.avg(F.col(c).cast("double")) if num else F.lit(None).cast("double"),
         "maximum": lambda c, num: F.max(F.col(c).cast("double")) if num else F.lit(None).cast("double"),
@@ -64,12 +64,23 @@ def profile(df: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(f.name).alias("column_name"),
                 F.lit(f.dataType.simpleString()).alias("type"),
-                *[make(f.name, isinstance(f.dataType, NumericType)).alias(s) for s, make in stats.items()],
+                *[make(f.name, f.name in numbers).alias(s) for s, make in stats.items()],
             ).alias(f"c{i}")
             for i, f in enumerate(fields)
         ]
     )
-    return row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(fields))])))
+    table = row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(fields))])))
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).cast("string").alias("value")) for f in fields])))
+    distinct = cells.where(F.col("value").isNotNull()).distinct().groupBy("column_name").agg(F.count("*").alias("distinct_values"))
+    table = table.join(distinct, "column_name", "left").withColumn("distinct_values", F.coalesce("distinct_values", F.lit(0)))
+    for name in ("q25", "median", "q75"):
+        table = table.withColumn(name, F.lit(None).cast("double"))
+    for c in numbers:
+        points = quantiles(df.select(F.col(c)), c, {"q25": 0.25, "median": 0.5, "q75": 0.75})
+        found = points.select(F.struct("q25", "median", "q75")).scalar()
+        own = F.col("column_name") == c
+        table = table.withColumns({q: F.when(own, found[q]).otherwise(F.col(q)) for q in ("q25", "median", "q75")})
+    return table
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:

@@ -38,7 +38,12 @@ class Factor:
         return [self.name]
 
     def columns(self) -> list[tuple[str, Column]]:
-        return [(f"{self.name}={x}", (F.col(self.name) == x).cast("double")) for x in self.levels[1:]]
+        return [(f"{self.name}={x}", self.is_level(x).cast("double")) for x in self.levels[1:]]
+
+    def is_level(self, level: str) -> Column:
+        """Whether a row has the level; a level that is not listed is an error, not the reference."""
+        unlisted = F.raise_error(F.lit(f"{self.name} has a level that is not listed")).cast("boolean")
+        return F.when(F.col(self.name).isin(*self.levels) | F.col(self.name).isNull(), F.col(self.name) == level).otherwise(unlisted)
 
     def reduced(self) -> Factor | None:
         return None
@@ -74,7 +79,7 @@ class Nested:
 
     def columns(self) -> list[tuple[str, Column]]:
         within = [
-            (f"{self.outer.name}={a}:{self.inner.name}={b}", ((F.col(self.outer.name) == a) & (F.col(self.inner.name) == b)).cast("double"))
+            (f"{self.outer.name}={a}:{self.inner.name}={b}", (self.outer.is_level(a) & self.inner.is_level(b)).cast("double"))
             for a in self.outer.levels
             for b in self.inner.levels[1:]
         ]
@@ -105,9 +110,12 @@ def design(terms: Sequence[Term]) -> list[tuple[str, Column]]:
 
 
 def patterns(df: DataFrame, y: str, terms: Sequence[Term], keys: Sequence[str] = ()) -> DataFrame:
-    """One row per covariate pattern (and key): ``n`` rows with responses adding up to ``sy``."""
+    """One row per covariate pattern (and key): ``n`` rows with responses adding up to ``sy``.
+
+    Only complete cases count: rows with a NULL response, variable or key are left out.
+    """
     names = list(dict.fromkeys([*keys, *variables(terms)]))
-    clean = df.where(F.col(y).isNotNull()).select(*names, F.col(y).cast("double").alias("_y"))
+    clean = df.dropna(subset=[y, *names]).select(*names, F.col(y).cast("double").alias("_y"))
     return clean.groupBy(*names).agg(F.count("*").alias("n"), F.sum("_y").alias("sy"))
 
 
@@ -207,10 +215,13 @@ def fit_by_subset(df: DataFrame, y: str, terms: Sequence[Term], by: Factor) -> d
 
 
 def coefficients(spark, fits: dict[str, Fit] | Fit) -> DataFrame:
-    """Coefficient table ``(subset, term, estimate, std_error, z, p)``."""
+    """Coefficient table ``(subset, term, estimate, std_error, z, p, iterations, converged)``.
+
+    ``converged`` is 0 for a fit that ran out of iterations.
+    """
     fits = fits if isinstance(fits, dict) else {"all": fits}
-    rows = [(k, *r) for k, f in fits.items() for r in f.rows()]
-    return small_table(spark, "subset string, term string, estimate double, std_error double, z double, p double", rows)
+    rows = [(k, *r, f.iterations, int(f.converged)) for k, f in fits.items() for r in f.rows()]
+    return small_table(spark, "subset string, term string, estimate double, std_error double, z double, p double, iterations int, converged int", rows)
 
 
 def deletions(terms: Sequence[Term]) -> list[tuple[str, list[Term]]]:

@@ -85,7 +85,7 @@ def _pairs_at_most(x: DataFrame, y: DataFrame, steps: list[float], cuts: list[fl
     )
     inside = Window.partitionBy("d", "b").orderBy("at")
     before = both.withColumn("before", F.sum("below").over(inside) - F.col("below")).join(offsets, ["d", "b"])
-    counts = before.groupBy("d").agg(F.sum(F.col("probe") * (F.col("ny") - F.col("offset") - F.col("before"))).alias("pairs"))
+    counts = before.groupBy("d").agg(F.sum(F.col("probe").cast("decimal(19,0)") * (F.col("ny") - F.col("offset") - F.col("before")).cast("decimal(19,0)")).cast("decimal(38,0)").alias("pairs"))
     return {r["d"]: int(r["pairs"]) for r in counts.collect()}
 
 
@@ -107,14 +107,12 @@ def shift_estimate(
     sd = mann_whitney(two, value, group, first, second).first()["sd"]
     reach = NormalDist().inv_cdf(0.5 + level / 2) * sd
     pairs = nx * ny
-    ranks = {
-        "estimate": (pairs + 1) / 2,
-        "lower": max(1, round(pairs / 2 - reach)),
-        "upper": min(pairs, pairs - round(pairs / 2 - reach) + 1),
-    }
+    # Ranks as whole numbers, the lower and the upper of the two that are averaged.
+    off = min(max(round(reach - (pairs % 2) / 2), 0), pairs // 2)
+    ranks = {"estimate": ((pairs + 1) // 2, pairs // 2 + 1), "lower": (max(1, pairs // 2 - off),) * 2, "upper": (min(pairs, pairs - pairs // 2 + off + 1),) * 2}
     low, high = ends[0]["lo"] - ends[1]["hi"], ends[0]["hi"] - ends[1]["lo"]
     span = max(high - low, 1e-300)
-    wanted = {f"{k}{i}": r for k, v in ranks.items() for i, r in enumerate((math.floor(v), math.ceil(v)))}
+    wanted = {f"{k}{i}": r for k, v in ranks.items() for i, r in enumerate(v)}
     brackets = {k: (low - span * 1e-9, high) for k in wanted}
     cuts = sorted({c for d in (x, y) for c in d.approxQuantile("value", [i / _buckets(df) for i in range(1, _buckets(df))], 0.01)})
     while max(b - a for a, b in brackets.values()) > tolerance * span:

@@ -11,13 +11,14 @@ from taxatally.session import small_table
 
 
 def parse_captive(rows: DataFrame) -> DataFrame:
-    """Add ``id, enclosure, sample_no, sample_type, lifestyle`` read off the sample id."""
+    """Add ``id, enclosure, sample_no, location, sample_type, lifestyle`` read off the sample id."""
     parts = ids.captive_parts("sample")
     out = rows.select(
         "*",
         ids.captive_id("sample").alias("id"),
         parts["enclosure"].alias("enclosure"),
         parts["sample_no"].alias("sample_no"),
+        parts["location"].alias("location"),
     )
     out = out.withColumn("sample_type", ids.sample_type("id"))
     out = out.withColumn("lifestyle", ids.enclosure_lifestyle("enclosure"))

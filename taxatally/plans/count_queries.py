@@ -334,18 +334,19 @@ def _(t):
 
 @query("j2_behaviour_join", f"""{RAWC}{PARTS}, log AS (SELECT i.sample, {BEHAVIOUR_SQL} AS behaviour, event_id FROM {{events}} JOIN ({IDS}) i
   ON user_id = c_custkey WHERE regexp_matches(i.sample, 'HWP|WWT')),
-targets AS (SELECT t.id, t.enclosure, t.sample_no, t.species, t.reads FROM tidy t JOIN housed h ON t.enclosure = h.enclosure AND t.species = h.housed_species
-  UNION ALL SELECT id, 'BAD', sample_no, species, reads FROM tidy WHERE sample = 'HWP-Round01-SQ-BATH' AND species = 'Meles meles'),
-log_ids AS (SELECT DISTINCT sample, id, enclosure, sample_no FROM tidy)
-SELECT r.id, r.enclosure, r.sample_no, r.species, r.reads, l.behaviour, l.event_id FROM targets r JOIN log_ids p ON r.id = p.id
+placed AS (SELECT *, CASE WHEN contains(sample, 'HWP') THEN 'HWP' ELSE 'WWT' END AS location FROM tidy),
+targets AS (SELECT t.id, t.location, t.enclosure, t.sample_no, t.species, t.reads FROM placed t JOIN housed h ON t.enclosure = h.enclosure AND t.species = h.housed_species
+  UNION ALL SELECT id, location, 'BAD', sample_no, species, reads FROM placed WHERE sample = 'HWP-Round01-SQ-BATH' AND species = 'Meles meles'),
+log_ids AS (SELECT DISTINCT sample, id, location, enclosure, sample_no FROM placed)
+SELECT r.id, r.location, r.enclosure, r.sample_no, r.species, r.reads, l.behaviour, l.event_id FROM targets r JOIN log_ids p ON r.id = p.id AND r.location = p.location
 AND r.enclosure = p.enclosure AND r.sample_no = p.sample_no JOIN log l ON l.sample = p.sample""")
 def _(t):
-    from taxatally.plans.captive import parse_captive, target_rows
+    from taxatally.plans.captive import join_behaviour, parse_captive, target_rows
 
     log = t.sql(f"SELECT sample, {BEHAVIOUR_SQL} AS behaviour, event_id FROM {{events}} JOIN {{ids}} ON user_id = c_custkey", ids=study_ids(t))
     log = parse_captive(ct.matching(log, "sample", fv.CAPTIVE_PATTERN))
-    keys = ["id", "enclosure", "sample_no"]
-    return target_rows(captive(t)).select(*keys, "species", "reads").join(log.select(*keys, "behaviour", "event_id"), keys)
+    keys = ["id", "location", "enclosure", "sample_no"]
+    return join_behaviour(target_rows(captive(t)).select(*keys, "species", "reads"), log.select(*keys, "behaviour", "event_id"))
 
 
 @query("j3_totals_join", f"""{COUNTS} SELECT sample, taxon, reads, total, ROUND(CAST(reads AS DOUBLE) / total, 9) AS freq FROM counts

@@ -9,22 +9,23 @@ from taxatally.functions.sequences import letters, reverse_complement
 from taxatally.operators import assign, counts as ct, reads as rd
 from taxatally.plans.count_queries import COUNTS, RAWC, counted, raw
 from taxatally.plans.registry import Tables, query
-from taxatally.session import new_path, small_table, spread, stored
+from taxatally.session import new_path, small_table, stored
 from taxatally.sources import biom, fasta, genbank, manifest, tables
 
 ALPHABET, BASES = "abcdefghijklmnopqrstuvwxyz", "acgtacgtacgtacgtacgtacgtac"
 
 # ---------------------------------------------------------------- text lines as reads
 L = f"""WITH l AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {{documents}}),
-w AS (SELECT source AS sample, lang, doc_id, doc_id * 100000 + pos AS read_id, regexp_replace(lower(line), '[^a-z]', '', 'g') AS word FROM l),
+w AS (SELECT source AS sample, lang, doc_id, doc_id || '-' || pos AS read_id, regexp_replace(lower(line), '[^a-z]', '', 'g') AS word FROM l),
 reads AS (SELECT sample, read_id, lang, doc_id, translate(word, '{ALPHABET}', '{BASES}') AS seq,
   list_transform(string_split(word, ''), lambda c: CASE WHEN c IN ('q', 'x', 'z', 'j', 'k', 'w') THEN 9 ELSE 30 + ascii(c) % 11 END) AS qual FROM w WHERE word <> '')"""
 
 
 def lines(t: Tables) -> DataFrame:
-    split = spread(t.documents.select("doc_id", "source", "lang", "text")).select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # What follows works on single letters, so texts are dealt out evenly first.
+    split = t.documents.select("doc_id", "source", "lang", "text").repartition("doc_id").select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     word = F.regexp_replace(F.lower("line"), "[^a-z]", "")
-    return split.select(F.col("source").alias("sample"), "lang", "doc_id", (F.col("doc_id") * 100000 + F.col("pos")).alias("read_id"), word.alias("word")).where("word <> ''")
+    return split.select(F.col("source").alias("sample"), "lang", "doc_id", F.concat("doc_id", F.lit("-"), "pos").alias("read_id"), word.alias("word")).where("word <> ''")
 
 
 def reads(t: Tables) -> DataFrame:
@@ -241,13 +242,14 @@ def _(t):
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-@query("s3_read_count_table", """SELECT n_name AS taxon, s.sample, (SELECT COUNT(*) FROM {customer} WHERE c_nationkey = n_nationkey AND c_mktsegment = s.sample) AS reads, 'root;' || n_regionkey AS lineage
+@query("s3_read_count_table", """SELECT CASE n_nationkey WHEN 0 THEN NULL WHEN 1 THEN 'OTU' ELSE n_name || ', state' END AS taxon, s.sample, (SELECT COUNT(*) FROM {customer} WHERE c_nationkey = n_nationkey AND c_mktsegment = s.sample) AS reads, 'root;' || n_regionkey AS lineage
 FROM {nation} CROSS JOIN (SELECT DISTINCT c_mktsegment AS sample FROM {customer}) s""")
 def _(t):
     path = new_path(t.spark, "counts")
     per = t.nation.join(t.customer, F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    wide = per.groupBy("n_name", "n_regionkey").pivot("c_mktsegment", SEGMENTS).agg(F.count("c_custkey")).fillna(0)
-    body = wide.select(F.concat_ws(",", "n_name", *SEGMENTS, F.concat(F.lit("root;"), "n_regionkey")).alias("value"))
+    wide = per.groupBy("n_name", "n_nationkey", "n_regionkey").pivot("c_mktsegment", SEGMENTS).agg(F.count("c_custkey")).fillna(0)
+    name = F.when(F.col("n_nationkey") == 0, "").when(F.col("n_nationkey") == 1, "OTU").otherwise(F.concat(F.lit('"'), "n_name", F.lit(', state"')))
+    body = wide.select(F.concat_ws(",", name, *SEGMENTS, F.concat(F.lit("root;"), "n_regionkey")).alias("value"))
     header = "OTU," + ",".join(f"{s}-nc.blast" for s in SEGMENTS) + ",taxomomy"
     top = small_table(t.spark, "value string, place int", [["# exported,,,,,,", 0], [header, 1]])
     whole = top.unionByName(body.withColumn("place", F.lit(2)))
@@ -304,13 +306,15 @@ def _(t):
     return biom.read_biom(t.spark, path).select("otu", "sample", "reads", F.array_join("taxonomy", ";").alias("taxonomy"))
 
 
-@query("s9_wide_text_table", """SELECT n_name AS "Assignment", """ + ", ".join(f"COUNT(c_custkey) FILTER (WHERE c_mktsegment = '{s}') AS \"{s}\"" for s in SEGMENTS)
-       + " FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey GROUP BY 1")
+@query("s9_wide_text_table", """SELECT n_name || ', state' AS "Assignment", """ + ", ".join(f"COUNT(c_custkey) FILTER (WHERE c_mktsegment = '{s}') AS \"{s}\"" for s in SEGMENTS)
+       + """, 'root;' || n_regionkey AS taxonomy FROM {nation} JOIN {customer} ON c_nationkey = n_nationkey GROUP BY n_name, n_regionkey""")
 def _(t):
     path = new_path(t.spark, "tsv")
     per = t.nation.join(t.customer, F.col("n_nationkey") == F.col("c_nationkey"))
-    biom.write_tsv(per.select(F.col("n_name").alias("otu"), F.col("c_mktsegment").alias("sample"), F.lit(1).cast("bigint").alias("reads")), path, SEGMENTS)
-    return tables.read_table(t.spark, path, "Assignment STRING, " + ", ".join(f"{s} BIGINT" for s in SEGMENTS))
+    lineage = F.array(F.lit("root"), F.col("n_regionkey").cast("string")).alias("taxonomy")
+    rows = per.select(F.concat("n_name", F.lit(", state")).alias("otu"), F.col("c_mktsegment").alias("sample"), F.lit(1).cast("bigint").alias("reads"), lineage)
+    biom.write_tsv(rows, path, SEGMENTS)
+    return tables.read_table(t.spark, path, "Assignment STRING, " + ", ".join(f"{s} BIGINT" for s in SEGMENTS) + ", taxonomy STRING", sep="\t")
 
 
 PATHS = """SELECT 'raw_reads/' || c_name || '-12S_R' || m || '.fastq.gz' AS path, c_custkey, m FROM {customer} CROSS JOIN (SELECT unnest([1, 2]) AS m)

@@ -62,11 +62,13 @@ def _profile_sql() -> str:
             ("o_orderdate", "timestamp", 0), ("o_orderpriority", "string", 0)]
     parts = []
     for name, kind, number in cols:
-        nums = f"MIN({name})::DOUBLE, ROUND(AVG({name})::DOUBLE, 4), MAX({name})::DOUBLE" if number else "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE"
+        nums = f"MIN({name})::DOUBLE, ROUND(AVG({name})::DOUBLE, 4), MAX({name})::DOUBLE, " + ", ".join(f"quantile_cont({name}, {q})::DOUBLE" for q in (0.25, 0.5, 0.75)) if number else ", ".join(["NULL::DOUBLE"] * 6)
         parts.append(f"SELECT '{name}', '{kind}', COUNT(*) - COUNT({name}), COUNT(DISTINCT {name}), {nums} FROM {{orders}}")
     first = parts[0].replace("'o_orderkey',", "'o_orderkey' AS column_name,").replace("'bigint',", "'bigint' AS type,", 1)
     first = first.replace("COUNT(o_orderkey), ", "COUNT(o_orderkey) AS nulls, ", 1).replace("COUNT(DISTINCT o_orderkey),", "COUNT(DISTINCT o_orderkey) AS distinct_values,")
     first = first.replace("MIN(o_orderkey)::DOUBLE,", "MIN(o_orderkey)::DOUBLE AS minimum,").replace("::DOUBLE, 4),", "::DOUBLE, 4) AS mean,").replace("MAX(o_orderkey)::DOUBLE", "MAX(o_orderkey)::DOUBLE AS maximum")
+    for q, label in ((0.25, "q25"), (0.5, "median"), (0.75, "q75")):
+        first = first.replace(f"quantile_cont(o_orderkey, {q})::DOUBLE", f"quantile_cont(o_orderkey, {q})::DOUBLE AS {label}")
     return " UNION ALL ".join([first, *parts[1:]])
 
 
@@ -235,18 +237,18 @@ def flag_fit(t: Tables):
     return glm.fit_glm(frame(t), "y", [FLAG])
 
 
-@query("m1_binomial_model", f"{MEANS} {COEF}")
+@query("m1_binomial_model", f"{MEANS} SELECT *, 1 AS converged FROM ({COEF})")
 def _(t):
-    return rounded(glm.coefficients(t.spark, flag_fit(t)), 6, "estimate", "std_error").select("term", "estimate", "std_error")
+    return rounded(glm.coefficients(t.spark, flag_fit(t)), 6, "estimate", "std_error").select("term", "estimate", "std_error", "converged")
 
 
 @query("m1_nested_model", f"""WITH f AS ({FRAME}), m AS (SELECT kind, flag, AVG(y) AS p, COUNT(*) AS n FROM f GROUP BY 1, 2), e AS (SELECT kind, flag, ln(p) - ln(1 - p) AS eta, 1 / (n * p * (1 - p)) AS v FROM m)
-SELECT '(Intercept)' AS term, ROUND(eta, 6) AS estimate, ROUND(sqrt(v), 6) AS std_error FROM e WHERE kind = 'ECONOMY' AND flag = 'A'
+SELECT *, 1 AS converged FROM (SELECT '(Intercept)' AS term, ROUND(eta, 6) AS estimate, ROUND(sqrt(v), 6) AS std_error FROM e WHERE kind = 'ECONOMY' AND flag = 'A'
 UNION ALL SELECT 'kind=' || e.kind, ROUND(e.eta - r.eta, 6), ROUND(sqrt(e.v + r.v), 6) FROM e JOIN e r ON r.kind = 'ECONOMY' AND r.flag = 'A' WHERE e.flag = 'A' AND e.kind <> 'ECONOMY'
-UNION ALL SELECT 'kind=' || e.kind || ':flag=' || e.flag, ROUND(e.eta - r.eta, 6), ROUND(sqrt(e.v + r.v), 6) FROM e JOIN e r ON r.kind = e.kind AND r.flag = 'A' WHERE e.flag <> 'A'""")
+UNION ALL SELECT 'kind=' || e.kind || ':flag=' || e.flag, ROUND(e.eta - r.eta, 6), ROUND(sqrt(e.v + r.v), 6) FROM e JOIN e r ON r.kind = e.kind AND r.flag = 'A' WHERE e.flag <> 'A')""")
 def _(t):
     fit = glm.fit_glm(frame(t), "y", [Nested(KIND, FLAG)])
-    return rounded(glm.coefficients(t.spark, fit), 6, "estimate", "std_error").select("term", "estimate", "std_error")
+    return rounded(glm.coefficients(t.spark, fit), 6, "estimate", "std_error").select("term", "estimate", "std_error", "converged")
 
 
 @query("m1_numeric_model")
@@ -258,15 +260,15 @@ def _(t):
 def _(t):
     fit = glmm.fit_glmm(frame(t), "y", [FLAG], ["region", "nation"])
     rows = [(n, e, s) for n, e, s, _, _ in fit.rows()] + [(f"variance {k}", v, None) for k, v in fit.random_variance.items()]
-    return small_table(t.spark, "term string, estimate double, std_error double", rows)
+    return small_table(t.spark, "term string, estimate double, std_error double, converged int", [(*r, int(fit.converged)) for r in rows])
 
 
 @query("m3_fit_by_subset", f"""WITH f AS ({FRAME}), m AS (SELECT kind, flag, AVG(y) AS p FROM f GROUP BY 1, 2), e AS (SELECT kind, flag, ln(p) - ln(1 - p) AS eta FROM m)
-SELECT kind AS subset, '(Intercept)' AS term, ROUND(eta, 6) AS estimate FROM e WHERE flag = 'A'
-UNION ALL SELECT e.kind, 'flag=' || e.flag, ROUND(e.eta - r.eta, 6) FROM e JOIN e r ON r.kind = e.kind AND r.flag = 'A' WHERE e.flag <> 'A'""")
+SELECT *, 1 AS converged FROM (SELECT kind AS subset, '(Intercept)' AS term, ROUND(eta, 6) AS estimate FROM e WHERE flag = 'A'
+UNION ALL SELECT e.kind, 'flag=' || e.flag, ROUND(e.eta - r.eta, 6) FROM e JOIN e r ON r.kind = e.kind AND r.flag = 'A' WHERE e.flag <> 'A')""")
 def _(t):
     fits = glm.fit_by_subset(frame(t), "y", [FLAG], KIND)
-    return rounded(glm.coefficients(t.spark, fits), 6, "estimate").select("subset", "term", "estimate")
+    return rounded(glm.coefficients(t.spark, fits), 6, "estimate").select("subset", "term", "estimate", "converged")
 
 
 @query("m4_deletion_test", f"""{MEANS}, o AS (SELECT AVG(y) AS p, COUNT(*) AS n FROM f)

@@ -61,16 +61,6 @@ def stored(df: DataFrame, label: str = "table", partition_by: Sequence[str] = ()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of an input of few files; many files are left as they are.
-
-    One small file is one task, whatever expensive work follows. With at least as many
-    files as cores the scan is parallel already and no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def small_table(spark: SparkSession, schema: str, rows: Iterable[Sequence]) -> DataFrame:
     """Lookup table held in the plan itself, so Spark knows its exact size.
 

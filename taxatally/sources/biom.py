@@ -82,10 +82,9 @@ def write_biom(counts: DataFrame, path: str, cells_per_document: int = 50_000) -
     per.select(F.to_json(document).alias("value")).write.text(path)
 
 
-def without_taxonomy(counts: DataFrame) -> DataFrame:
-    return counts.withColumn("taxonomy", F.lit(None).cast("array<string>"))
-
-
-def write_tsv(counts: DataFrame, path: str, samples: list[str]) -> None:
-    """Wide text table with one column per listed sample."""
-    write_count_table(counts.withColumnRenamed("otu", "taxon"), path, samples)
+def write_tsv(counts: DataFrame, path: str, samples: list[str], lineage: bool = True) -> None:
+    """Wide tab-separated table with one column per listed sample, and the lineage if wanted."""
+    rows = counts.withColumnRenamed("otu", "taxon")
+    if lineage:
+        rows = rows.withColumn("taxonomy", F.array_join("taxonomy", ";"))
+    write_count_table(rows, path, samples, sep="\t", lineage="taxonomy" if lineage else None)

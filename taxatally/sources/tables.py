@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import csv
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,12 +50,13 @@ def read_count_table(spark: SparkSession, path: str, suffix: str = "-nc.blast")
     Line 1 is a comment and line 2 the header: assignment, one column per sample with a
     tool suffix, taxonomy text last. Zero counts stay, so empty samples are not lost.
     """
-    comment, header = (r.value for r in spark.read.text(path).limit(2).collect())
-    names = [n.strip('"') for n in header.split(",")]
+    lines = spark.read.text(path)
+    comment, header = (r.value for r in lines.limit(2).collect())
+    names = next(csv.reader([header]))
     fields = ", ".join(f"`_c{i}` STRING" for i in range(len(names)))
-    # The two leading lines are recognised by content, wherever a split begins.
-    first = comment.split(",")[0].strip('"')
-    rows = spark.read.schema(fields).csv(path).where(~F.col("_c0").isin(first, names[0]))
+    # The two leading lines are recognised as a whole, wherever a split begins.
+    body = lines.where(~F.col("value").isin(comment, header) & (F.col("value") != ""))
+    rows = body.select(F.from_csv("value", F.lit(fields)).alias("r")).select("r.*")
     last = len(names) - 1
     sample_columns = [F.col(f"_c{i}").alias(names[i]) for i in range(1, last)]
     wide = rows.select(F.col("_c0").alias("taxon"), F.col(f"_c{last}").alias("lineage"), *sample_columns)
@@ -63,13 +64,12 @@ def read_count_table(spark: SparkSession, path: str, suffix: str = "-nc.blast")
     return long.select(strip_suffix("sample", suffix).alias("sample"), "taxon", to_count("text").alias("reads"), "lineage")
 
 
-def read_count_tables(spark: SparkSession, sources: list[tuple[str, str]]) -> DataFrame:
-    """Several count tables ``(path, suffix)`` stacked."""
-    return reduce(DataFrame.unionByName, [read_count_table(spark, path, suffix) for path, suffix in sources])
+def write_count_table(counts: DataFrame, path: str, samples: list[str], suffix: str = "", sep: str = ",", lineage: str | None = None) -> None:
+    """Wide count table for export, one column per listed sample.
 
-
-def write_count_table(counts: DataFrame, path: str, samples: list[str], suffix: str = "") -> None:
-    """Wide count table for export, one column per listed sample."""
-    wide = counts.groupBy("taxon").pivot("sample", samples).agg(F.sum("reads")).fillna(0)
-    renamed = wide.select(F.col("taxon").alias("Assignment"), *[F.col(f"`{s}`").alias(s + suffix) for s in samples])
-    write_table(renamed, path)
+    ``lineage`` names a column of text that comes last; without it the table has none.
+    """
+    keys = ["taxon", *([lineage] if lineage else [])]
+    wide = counts.groupBy(*keys).pivot("sample", samples).agg(F.sum("reads")).fillna(0, samples)
+    renamed = wide.select(F.col("taxon").alias("Assignment"), *[F.col(f"`{s}`").alias(s + suffix) for s in samples], *keys[1:])
+    write_table(renamed, path, sep)

@@ -105,3 +105,29 @@ def test_too_many_levels_for_a_term(spark):
     df = spark.range(1200).select(F.col("id").cast("string").alias("g"), F.lit(0.5).alias("y"))
     with pytest.raises(ValueError, match="more than 1000 levels"):
         glm.level_contrasts(df, "y", "g")
+
+
+def test_models_take_complete_cases_and_refuse_unlisted_levels(spark):
+    import pytest
+
+    from taxatally.operators import glm, glmm
+
+    rows = [("a", i % 5 == 0) for i in range(50)] + [("b", i % 2 == 0) for i in range(50)]
+    df = spark.createDataFrame([(g, float(y), f"r{i % 4}") for i, (g, y) in enumerate(rows)], "g string, y double, pond string")
+    more = df.union(spark.createDataFrame([(None, 1.0, "r0"), ("a", None, "r1"), ("a", 1.0, None)], df.schema))
+    terms = [glm.Factor("g", ("a", "b"))]
+    plain, full = glm.fit_glm(df, "y", terms), glm.fit_glm(more.where("pond is not null"), "y", terms)
+    assert plain.n == full.n == 100 and abs(plain.beta - full.beta).max() < 1e-9
+    assert [r["converged"] for r in glm.coefficients(spark, plain).collect()] == [1, 1]
+    assert glmm.fit_glmm(more, "y", terms, ["pond"]).n == 100
+    odd = df.union(spark.createDataFrame([("c", 1.0, "r0")], df.schema))
+    for fit in (lambda: glm.fit_glm(odd, "y", terms), lambda: glmm.fit_glmm(odd, "y", terms, ["pond"])):
+        with pytest.raises(Exception, match="not listed"):
+            fit()
+
+
+def test_pair_counts_beyond_a_bigint(spark):
+    from taxatally.operators.rank_tests import _pairs_at_most
+
+    side = lambda v: spark.createDataFrame([(v, 8_000_000_000)], "value double, n bigint")
+    assert _pairs_at_most(side(1.0), side(0.0), [0.5, 1.5], [0.5]) == {0.5: 0, 1.5: 64 * 10**18}

@@ -7,8 +7,8 @@ costs one row each and no pair of a group is written out without need.
 1. Equal sets are one node. Nodes that agree in some of their minima are compared with the node
    that agrees with the most others; those near enough become members of its star.
 2. Index lists: each set enters the lists of its prefix, the tokens among which every partner
-   must share some. Tokens that are common in any stretch of the table are ordered last. A star
-   enters a list once for all its members. A list is ordered by size and skipped by blocks: once
+   must share some. Tokens that are common in any stretch of the table are ordered last, and then
+   those whose lists, counted over all sets, come out long. A star enters a list once for all its members. A list is ordered by size and skipped by blocks: once
    a partner is too large, so are all behind it. A pair goes on only if it shares as many prefix
    tokens as its sizes demand.
 3. Answers from answers: what a member has and its centre has not, and the other way round, is
@@ -40,8 +40,9 @@ from .words import mix, shingle_sets
 
 #: Agreements of minima that make a candidate for a star, and minima in each.
 KEYS, MINIMA = 6, 3
-#: Tokens that are ordered last, at most. The order decides on work, not on results.
-COMMON = 1 << 18
+#: Tokens that are ordered last, at most, and entries from which an index list counts as long. The
+#: order decides on work, not on results.
+COMMON, LONG = 1 << 18, 64
 #: Tokens after which a task looks for common ones, and the share of documents that makes one.
 STRETCH, SHARE, LEAST = 1 << 20, 256, 8
 #: Similarity to the centre, in percent, from which a node is a member of its star, and members in
@@ -294,6 +295,13 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     return prefixes.select("star", "low", "high", "tokens").mapInArrow(run, "token long, star long, low long, high long")
 
 
+def _long_lists(postings: DataFrame) -> np.ndarray:
+    """Tokens of the longest index lists, from ``LONG`` entries on."""
+    counts = postings.select(F.col("token").bitwiseAND(F.lit((1 << 63) - 1)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    top = counts.filter(F.col("n") > LONG).orderBy(F.desc("n"), "token").limit(COMMON)
+    return top.select("token").toArrow().column(0).to_numpy().view(np.uint64)
+
+
 def _meetings(postings: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of stars that share as many prefix tokens as links between them demand."""
 
@@ -385,9 +393,12 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
     belongs = members.select("node", "star").union(centres.select(F.col("star").alias("node"), "star"))
     in_star = stored(belongs.join(centres, "star"), "in_star")
 
-    prefixes = _prefixes(docs, common, percent, n, lower).join(in_star.drop("radius"), "node", "left")
-    prefixes = prefixes.select(*(F.coalesce(x, F.col(y)).alias(x) for x, y in (("star", "node"), ("low", "size"), ("high", "size"))), "tokens")
-    meetings = stored(_meetings(_postings(prefixes), percent), "meetings")
+    def lists(last: np.ndarray) -> DataFrame:
+        found = _prefixes(docs, last, percent, n, lower).join(in_star.drop("radius"), "node", "left")
+        return _postings(found.select(*(F.coalesce(x, F.col(y)).alias(x) for x, y in (("star", "node"), ("low", "size"), ("high", "size"))), "tokens"))
+
+    common = np.union1d(common, _long_lists(lists(common)))
+    meetings = stored(_meetings(lists(common), percent), "meetings")
     met = _compared(docs, meetings, nodes, n, lower)
     links = stars.filter(link).select("a", "b").union(inside).union(met.filter(link).select("a", "b"))
     found = stored(components(links), "found")

@@ -144,15 +144,14 @@ def otu_sequences(kept: DataFrame) -> DataFrame:
 
 
 def funnel(
-    raw: DataFrame, trimmed: DataFrame, merged: DataFrame, least: int = fv.MIN_CLUSTER_READS
+    raw: DataFrame, pairs: DataFrame, merged: DataFrame, least: int = fv.MIN_CLUSTER_READS
 ) -> DataFrame:
-    """Read numbers per sample, one column per stage.
+    """Read numbers per sample, one column per stage: raw reads, pairs of trimmed mates, merged reads.
 
     Each stage is first reduced to one row per sample; these short tables are stacked and
     added up together. Samples that lose all reads keep their row. The last columns are
     NULL for samples that reach no cluster.
     """
-    pairs = pair_mates(trimmed)
     groups = clusters(merged)
     enough = F.col("reads") >= least
     stages = [

@@ -75,14 +75,17 @@ def _(t):
     return prepared(t).select("sample", "read_id", "seq1", "seq2", "state")
 
 
-@query("q3_merge_pairs", L + TWO_MATES + TRIM + """, p AS (SELECT a.sample, a.read_id, a.seq AS f, a.qual AS qa, reverse(translate(b.seq, 'ACGT', 'TGCA')) AS r, list_reverse(b.qual) AS qb
+MERGE = """, mp AS (SELECT a.sample, a.read_id, a.seq AS f, a.qual AS qa, reverse(translate(b.seq, 'ACGT', 'TGCA')) AS r, list_reverse(b.qual) AS qb
   FROM trimmed a LEFT JOIN trimmed b ON a.sample = b.sample AND a.read_id = b.read_id AND b.mate = 2 WHERE a.mate = 1),
-o AS (SELECT sample, read_id, f, r, qa, qb, n, len(list_filter(range(1, n + 1), lambda i: f[length(f) - n + i] <> r[i])) / n AS share
-  FROM (SELECT *, unnest(range(10, least(length(f), length(r)) + 1)) AS n FROM p WHERE r IS NOT NULL)),
-b AS (SELECT sample, read_id, arg_min(n, struct_pack(s := share, m := -n)) AS n FROM o WHERE share <= 0.25 GROUP BY 1, 2),
-m AS (SELECT p.*, COALESCE(b.n, 0) AS n FROM p LEFT JOIN b ON p.sample = b.sample AND p.read_id = b.read_id)
-SELECT read_id, CAST(n > 0 AS INT) AS merged, CASE WHEN n = 0 THEN f ELSE f[1:length(f) - n] ||
-  array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN qb[i] > qa[length(f) - n + i] THEN r[i] ELSE f[length(f) - n + i] END), '') || r[n + 1:] END AS seq FROM m""")
+mo AS (SELECT sample, read_id, f, r, qa, qb, n, len(list_filter(range(1, n + 1), lambda i: f[length(f) - n + i] <> r[i])) / n AS share
+  FROM (SELECT *, unnest(range(10, least(length(f), length(r)) + 1)) AS n FROM mp WHERE r IS NOT NULL)),
+mb AS (SELECT sample, read_id, arg_min(n, struct_pack(s := share, m := -n)) AS n FROM mo WHERE share <= 0.25 GROUP BY 1, 2),
+mm AS (SELECT mp.*, COALESCE(mb.n, 0) AS n FROM mp LEFT JOIN mb ON mp.sample = mb.sample AND mp.read_id = mb.read_id),
+merged AS (SELECT sample, read_id, CAST(n > 0 AS INT) AS merged, CASE WHEN n = 0 THEN f ELSE f[1:length(f) - n] ||
+  array_to_string(list_transform(range(1, n + 1), lambda i: CASE WHEN qb[i] > qa[length(f) - n + i] THEN r[i] ELSE f[length(f) - n + i] END), '') || r[n + 1:] END AS seq FROM mm)"""
+
+
+@query("q3_merge_pairs", L + TWO_MATES + TRIM + MERGE + " SELECT read_id, merged, seq FROM merged")
 def _(t):
     return rd.merge_pairs(prepared(t)).select("read_id", "merged", "seq")
 
@@ -102,18 +105,17 @@ def _(t):
     return rd.otu_table(rd.dereplicate(reads(t), least=1))
 
 
-@query("q12_funnel", L + TWO_MATES + TRIM + """, p AS (SELECT sample, read_id, COUNT(*) AS mates FROM trimmed GROUP BY 1, 2),
-m AS (SELECT * FROM trimmed WHERE mate = 1), kc AS (SELECT sample, seq, COUNT(*) AS n FROM m GROUP BY 1, 2),
+@query("q12_funnel", L + TWO_MATES + TRIM + MERGE + """, p AS (SELECT sample, read_id, COUNT(*) AS mates FROM trimmed GROUP BY 1, 2),
+kc AS (SELECT sample, seq, COUNT(*) AS n FROM merged GROUP BY 1, 2),
 ta AS (SELECT sample, COUNT(*) AS total FROM both_raw GROUP BY 1),
 tb AS (SELECT sample, SUM(CASE WHEN mates = 2 THEN 2 ELSE 0 END)::BIGINT AS trimmed_pe, COUNT(*) FILTER (WHERE mates = 1) AS trimmed_orphans FROM p GROUP BY 1),
-tc AS (SELECT sample, COUNT(*) AS merged FROM m GROUP BY 1),
+tc AS (SELECT sample, COUNT(*) AS merged FROM merged GROUP BY 1),
 td AS (SELECT sample, COUNT(*) AS clusters_total, COUNT(*) FILTER (WHERE n >= 3) AS clusters_above, SUM(CASE WHEN n >= 3 THEN n ELSE 0 END)::BIGINT AS queries FROM kc GROUP BY 1)
 SELECT sample, total, COALESCE(trimmed_pe, 0) AS trimmed_pe, COALESCE(trimmed_orphans, 0) AS trimmed_orphans, COALESCE(merged, 0) AS merged, clusters_total, clusters_above, queries,
 COALESCE(trimmed_pe, 0) + COALESCE(trimmed_orphans, 0) AS trimmed_total FROM ta LEFT JOIN tb USING (sample) LEFT JOIN tc USING (sample) LEFT JOIN td USING (sample)""")
 def _(t):
-    both = stored(mates(t), "mates")
-    trimmed = stored(rd.trim_reads(rd.clip_primers(both)), "trimmed")
-    return rd.funnel(both, trimmed, trimmed.where("mate = 1").select("sample", "read_id", "seq"))
+    pairs = stored(prepared(t), "pairs")
+    return rd.funnel(mates(t).select("sample"), pairs, rd.merge_pairs(pairs).select("sample", "seq"))
 
 
 # ---------------------------------------------------------------- assignment
@@ -178,6 +180,33 @@ def _(t):
     return out.select("query", "chimera", "left", "right", "single")
 
 
+READS_TO_TAXA = L + TWO_MATES + TRIM + MERGE + """, kept AS (SELECT sample, lower(seq) AS seq, COUNT(*) AS n FROM merged WHERE length(seq) BETWEEN 90 AND 110 GROUP BY 1, 2 HAVING COUNT(*) >= 3),
+q0 AS (SELECT DISTINCT sha256(seq) AS query, seq FROM kept),
+refs AS (SELECT read_id AS ref, seq, lang, sample, CAST(reads.doc_id AS VARCHAR) AS doc FROM reads JOIN {labels} ON labels.doc_id = reads.doc_id WHERE quality = 1),
+ck AS (SELECT DISTINCT query, seq[i:i + 15] AS w, CASE WHEN i + 15 <= length(seq) // 2 THEN 'L' WHEN i - 1 >= length(seq) // 2 THEN 'R' END AS side
+  FROM (SELECT query, seq, unnest(range(1, length(seq) - 14)) AS i FROM q0)),
+cr AS (SELECT DISTINCT ref, seq[i:i + 15] AS w FROM (SELECT ref, seq, unnest(range(1, length(seq) - 14)) AS i FROM refs WHERE length(seq) >= 16)),
+cv AS (SELECT query, ref, COUNT(*) FILTER (WHERE side = 'L') AS l, COUNT(*) FILTER (WHERE side = 'R') AS r FROM ck JOIN cr USING (w) WHERE side IS NOT NULL GROUP BY 1, 2),
+cb AS (SELECT query, MAX(l) AS l, MAX(r) AS r, MAX(l + r) AS s FROM cv GROUP BY 1),
+q AS (SELECT q0.query, q0.seq FROM q0 LEFT JOIN cb USING (query) WHERE NOT COALESCE(l > 0 AND r > 0 AND l + r - s > 0.2 * (l + r), FALSE))""" + HITS + """,
+an AS (SELECT query, COUNT(DISTINCT lang) AS a, COUNT(DISTINCT (lang, refs.sample)) AS b, COUNT(DISTINCT (lang, refs.sample, doc)) AS c, ANY_VALUE(lang) AS lang, ANY_VALUE(refs.sample) AS src, ANY_VALUE(doc) AS doc
+  FROM hits JOIN refs USING (ref) GROUP BY 1),
+named AS (SELECT q.seq, CASE WHEN c = 1 THEN doc WHEN b = 1 THEN src WHEN a = 1 THEN lang ELSE 'unassigned' END AS taxon FROM q LEFT JOIN an USING (query))
+SELECT kept.sample, taxon, CAST(SUM(n) AS BIGINT) AS reads FROM kept JOIN named USING (seq) GROUP BY 1, 2"""
+
+
+@query("pipeline_reads_to_taxa", READS_TO_TAXA)
+def _(t):
+    """Raw reads to a table of taxa: trim, merge, filter, dereplicate, drop chimeras, search, ancestor, collapse."""
+    merged = rd.merge_pairs(prepared(t)).select("sample", F.lower("seq").alias("seq"))
+    kept = stored(rd.dereplicate(rd.filter_length(merged)), "clusters")
+    refs = stored(line_references(t), "references")
+    split = assign.split_chimeras(rd.otu_sequences(kept).withColumnRenamed("otu", "query"), refs.select("ref", "seq"))
+    good = stored(split.where("chimera = 0").select("query", "seq"), "good")
+    assigned = assign.assign(good, assign.search(good, refs.select("ref", "seq")), refs.select("ref", "lineage"))
+    return assign.collapse(rd.otu_table(kept), assigned).select("sample", "taxon", "reads")
+
+
 ORDER_HITS = """WITH h AS (SELECT l_orderkey AS query, p_type, p_brand, p_name FROM {lineitem} JOIN {part} ON l_partkey = p_partkey),
 a AS (SELECT query, COUNT(*) AS hits, COUNT(DISTINCT p_type) AS t, COUNT(DISTINCT (p_type, p_brand)) AS b, COUNT(DISTINCT (p_type, p_brand, p_name)) AS n,
   ANY_VALUE(p_type) AS p_type, ANY_VALUE(p_brand) AS p_brand, ANY_VALUE(p_name) AS p_name FROM h GROUP BY 1),

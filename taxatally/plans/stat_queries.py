@@ -251,9 +251,23 @@ def _(t):
     return rounded(glm.coefficients(t.spark, fit), 6, "estimate", "std_error").select("term", "estimate", "std_error", "converged")
 
 
-@query("m1_numeric_model")
-def _(t):
-    return glm.coefficients(t.spark, glm.fit_glm(frame(t), "y", [Numeric("quantity"), Numeric("tax")]))
+# Newton's method on the covariate patterns, 3 x 3 systems solved by determinants.
+_SUMS = """SUM(sy - n * mu) AS g0, SUM((sy - n * mu) * quantity) AS g1, SUM((sy - n * mu) * tax) AS g2, SUM(n * mu * (1 - mu)) AS a, SUM(n * mu * (1 - mu) * quantity) AS b,
+SUM(n * mu * (1 - mu) * tax) AS c, SUM(n * mu * (1 - mu) * quantity * quantity) AS d, SUM(n * mu * (1 - mu) * quantity * tax) AS e, SUM(n * mu * (1 - mu) * tax * tax) AS f"""
+_DET = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+NEWTON = f"""WITH RECURSIVE rows AS ({FRAME}), cells AS (SELECT quantity, tax, COUNT(*) AS n, SUM(y) AS sy FROM rows GROUP BY 1, 2),
+steps(k, b0, b1, b2) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL
+  SELECT k + 1, b0 + (g0 * (d * f - e * e) - b * (g1 * f - g2 * e) + c * (g1 * e - g2 * d)) / {_DET},
+    b1 + (a * (g1 * f - g2 * e) - g0 * (b * f - c * e) + c * (b * g2 - c * g1)) / {_DET}, b2 + (a * (d * g2 - e * g1) - b * (b * g2 - c * g1) + g0 * (b * e - c * d)) / {_DET}
+  FROM (SELECT k, b0, b1, b2, {_SUMS} FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * quantity + b2 * tax))) AS mu FROM steps, cells WHERE k < 12) GROUP BY k, b0, b1, b2)),
+last AS (SELECT b0, b1, b2, {_SUMS} FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * quantity + b2 * tax))) AS mu FROM steps, cells WHERE k = 12) GROUP BY b0, b1, b2)"""
+
+
+@query("m1_numeric_model", f"""{NEWTON} SELECT '(Intercept)' AS term, ROUND(b0, 6) AS estimate, ROUND(sqrt((d * f - e * e) / {_DET}), 6) AS std_error, 1 AS converged FROM last
+UNION ALL SELECT 'quantity', ROUND(b1, 6), ROUND(sqrt((a * f - c * c) / {_DET}), 6), 1 FROM last UNION ALL SELECT 'tax', ROUND(b2, 6), ROUND(sqrt((a * d - b * b) / {_DET}), 6), 1 FROM last""")
+def _(t):
+    rows = glm.coefficients(t.spark, glm.fit_glm(frame(t), "y", [Numeric("quantity"), Numeric("tax")]))
+    return rounded(rows, 6, "estimate", "std_error").select("term", "estimate", "std_error", "converged")
 
 
 @query("m2_random_intercepts")

@@ -28,6 +28,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 
 #: Distinct pre-tokens that a task remembers from batch to batch; only saves work.
 REMEMBERED = 400_000
+#: Places that are looked up at once when the index is made.
+STEP = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -52,7 +54,7 @@ class Bpe:
             self.bytes_of[i] = bytes(to_byte[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.byte_id = np.array([vocab[c] for c in chars], dtype=np.int64)
+        self.byte_id = np.array([vocab[c] for c in chars], dtype=np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.left = np.array([vocab[a] for a, _ in merges], dtype=np.int64)
         self.right = np.array([vocab[b] for _, b in merges], dtype=np.int64)
@@ -70,7 +72,7 @@ class Bpe:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where there is no merge of it."""
-        keys = left * self.size + right
+        keys = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.rank[at], -1)
 
@@ -95,8 +97,8 @@ class Bpe:
         n = len(data)
         last = np.cumsum(sizes)
         # One place more stands for "no neighbour".
-        symbol = np.append(self.byte_id[data], -1)
-        follower, leader = np.arange(1, n + 2), np.arange(-1, n)
+        symbol = np.append(self.byte_id[data], np.int32(-1))
+        follower, leader = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         follower[n] = n
         follower[last[sizes > 0] - 1] = n
         leader[(last - sizes)[sizes > 0]] = n
@@ -120,7 +122,8 @@ class Bpe:
                     index[r] = [places[a:b]]
                     heapq.heappush(active, r)
 
-        note(np.arange(n))
+        for first in range(0, n, STEP):
+            note(np.arange(first, min(n, first + STEP), dtype=np.int32))
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -183,10 +186,14 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             for at, found in enumerate(bpe.encode(texts, known), 1):
                 ids.append(found)
                 held += len(found)
-                if held > 1 << 22 or at == len(texts):
+                if held > 1 << 21 or at == len(texts):
                     columns = [batch.column(0).slice(first, at - first), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
                     ids, held, first = [], 0, at
+            del texts
+        # The worker goes on to other tasks; what this one held should not stay with it.
+        known.clear()
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")

@@ -446,3 +446,20 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
     marked = docs.withColumns({"_row": F.xxhash64("text")}).withColumn("_key", F.xxhash64("doc_id", "_row"))
     same = (marked["_key"] == keep["_key"]) & marked["doc_id"].eqNullSafe(keep["_doc"]) & (marked["_row"] == keep["_row"])
     return marked.join(keep, same, "left_semi").dropDuplicates(["_key", "doc_id", "_row"]).select(*docs.columns)
+
+
+def linked_sql(n: int = 4, percent: int = 85) -> str:
+    """What ``linked`` gives, as SQL over the table ``documents`` with distinct ids."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) END) AS g FROM d),
+    sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * shared >= {percent} * (a.n + b.n - shared)),
+    ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach(x, y) AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x),
+    least_of AS (SELECT x, min(y) AS low FROM reach GROUP BY x)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+    FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least_of ON x = d.doc_id"""

@@ -198,3 +198,20 @@ def measure(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in COUNTS) + ", base_failed boolean, kept boolean"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
+
+
+#: What ``measure`` gives with ``RULES``, as SQL over the table ``documents`` with distinct ids.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+often AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
+marks AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g JOIN often USING (doc_id, g)),
+again AS (SELECT doc_id, count(DISTINCT j) AS n FROM marks GROUP BY doc_id),
+cut AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM cut WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
+      FROM d LEFT JOIN dup ON dup.doc_id = d.doc_id LEFT JOIN again ON again.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND 100 * n_symbols <= 30 * n_words AND 100 * n_dup_lines <= 50 * n_lines AS kept FROM b"""

@@ -27,6 +27,9 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked(table(spark, folder, "documents"), n=4, percent=85)
 
 
+ORACLES["op1_ngram_join"] = ngram_join.linked_sql(n=4, percent=85)
+
+
 @op
 def op2_token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -65,6 +68,9 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.measure(table(spark, folder, "documents"))
 
 
+ORACLES["op8_quality_rules"] = quality.SQL
+
+
 @op
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

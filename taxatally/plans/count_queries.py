@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from taxatally import fixed_values as fv
 from taxatally.functions import ids
 from taxatally.functions.numeric import label, presence, ratio, to_count, zero_filled
-from taxatally.operators import compare, counts as ct, describe, reshape, thresholds as th
+from taxatally.operators import compare, counts as ct, describe, glm, reshape, thresholds as th
 from taxatally.plans.cleaning import compare_threshold_options, taxa_surviving_thresholds
 from taxatally.plans.registry import Tables, query
 from taxatally.plans.views import IDS, LINES, RAW, SURVEYS, raw_lines, study_ids
@@ -210,6 +210,22 @@ def _(t):
     return wild(t)
 
 
+@query("pipeline_site_occupancy", f"""{RAWC}{WILD}, shares AS (SELECT *, reads / SUM(reads) OVER (PARTITION BY sample) AS freq FROM wild),
+means AS (SELECT taxon AS species, site, pond, replicate, AVG(freq) AS freq FROM shares WHERE freq > 0 AND taxon IN ('Arvicola amphibius', 'Neomys fodiens', 'Rattus norvegicus',
+  'Castor fiber', 'Sorex araneus', 'Myodes glareolus', 'Oryctolagus cuniculus', 'Capreolus capreolus', 'Cervus elaphus', 'Canis lupus familiaris', 'Sus scrofa domesticus',
+  'Ovis aries', 'Bos taurus', 'Pipistrellus pipistrellus', 'Sciurus carolinensis') GROUP BY ALL),
+ponds AS (SELECT site, pond, species, CAST(MAX(freq) > 0 AS INT) AS occupancy FROM means GROUP BY ALL),
+occupied AS (SELECT * FROM ponds UNION ALL SELECT site, 'Site', species, MAX(occupancy) FROM ponds GROUP BY ALL)
+SELECT *, CASE WHEN species IN ('Arvicola amphibius', 'Neomys fodiens', 'Rattus norvegicus', 'Castor fiber', 'Lutra lutra', 'Neovison vison') THEN 'Semi-aquatic'
+  WHEN species IN ('Pipistrellus pipistrellus', 'Sciurus carolinensis', 'Sciurus vulgaris') THEN 'Arboreal' ELSE 'Ground-dwelling' END AS lifestyle FROM occupied""")
+def _(t):
+    """Raw counts to the mammals present at ponds and sites."""
+    from taxatally.plans.wild import occupancy
+
+    rows = raw(t).where((ids.experiment("sample") == "wild") & (ids.sample_role("sample") == "biological"))
+    return occupancy(ct.proportions(rows))
+
+
 @query("p16_time_course_ids", f"""{RAWC} SELECT sample, sample[1:3] AS day, sample[5:9] AS pond, sample[11:12] AS replicate,
 CAST(SUM(reads) AS BIGINT) AS reads FROM counts WHERE regexp_matches(sample, '^D0[1-5]-THL') GROUP BY ALL""")
 def _(t):
@@ -316,11 +332,8 @@ FROM (SELECT DISTINCT l_returnflag AS flag FROM {lineitem}) CROSS JOIN (SELECT D
 CROSS JOIN (SELECT MIN(l_quantity) AS low, MAX(l_quantity) AS high FROM {lineitem}) CROSS JOIN (SELECT unnest(range(500)) AS i)""")
 def _(t):
     ends = t.lineitem.agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
-    grid = reshape.prediction_grid(
-        t.spark,
-        {"flag": ["A", "N", "R"], "kind": ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]},
-        {"quantity": (ends.select("low").scalar(), ends.select("high").scalar())},
-    )
+    levels = {name: list(glm.factor(df.select(F.col(c).alias(name)), name).levels) for name, df, c in (("flag", t.lineitem, "l_returnflag"), ("kind", t.part, "p_type"))}
+    grid = reshape.prediction_grid(t.spark, levels, {"quantity": (ends.select("low").scalar(), ends.select("high").scalar())})
     return grid.withColumn("quantity", F.round("quantity", 6))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxatally import fixed_values as fv
 from taxatally.functions import ids
 from taxatally.operators import compare
 from taxatally.operators.counts import nonempty_taxa
@@ -27,6 +28,18 @@ def pond_means(shares: DataFrame) -> DataFrame:
     return compare.mean_over_detections(wild_frame(shares), keys)
 
 
+def mammals(rows: DataFrame, taxon: str = "taxon") -> DataFrame:
+    """Rows of the wild mammals that the survey methods can see."""
+    return rows.where(F.col(taxon).isin(fv.MAMMALS))
+
+
+def occupancy(shares: DataFrame) -> DataFrame:
+    """From shares of reads to the mammals present at each pond, and at each site as pond ``Site``."""
+    means = mammals(pond_means(shares)).withColumnRenamed("taxon", "species")
+    table = compare.with_site_rows(compare.pond_presence(means, CELL), CELL)
+    return table.withColumn("lifestyle", ids.species_lifestyle("species")).withColumnRenamed("present", "occupancy")
+
+
 def method_comparison(edna: DataFrame, historical: DataFrame, field: DataFrame, camera: DataFrame) -> DataFrame:
     """Occupancy of each species by site, pond and method.
 

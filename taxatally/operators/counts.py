@@ -124,11 +124,6 @@ def nonempty_taxa(counts: DataFrame, value: str = "reads") -> DataFrame:
     return counts.join(seen, "taxon", "left_semi")
 
 
-def with_lookup(rows: DataFrame, lookup: DataFrame, on: str | list[str], default: dict[str, str]) -> DataFrame:
-    """Left join to a lookup table with a stated value for keys it does not list."""
-    return rows.join(lookup, on, "left").fillna(default)
-
-
 def resolve_ids(records: DataFrame, lookup: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
     """Records with their looked-up id, and the distinct keys that have none."""
     resolved = records.join(lookup, on, "inner")

@@ -341,8 +341,10 @@ def _(t):
 @query("j1_sample_metadata", f"""{COUNTS} SELECT sample, taxon, reads, c_mktsegment AS location, c_nationkey AS volume
 FROM counts JOIN {{customer}} ON sample = c_name WHERE c_acctbal > 0""")
 def _(t):
+    from taxatally.plans.captive import join_metadata
+
     meta = t.customer.where("c_acctbal > 0").select(F.col("c_name").alias("sample"), F.col("c_mktsegment").alias("location"), F.col("c_nationkey").alias("volume"))
-    return counted(t).join(meta, "sample")
+    return join_metadata(counted(t), meta)
 
 
 @query("j2_behaviour_join", f"""{RAWC}{PARTS}, log AS (SELECT i.sample, {BEHAVIOUR_SQL} AS behaviour, event_id FROM {{events}} JOIN ({IDS}) i

@@ -312,6 +312,15 @@ def _(t):
     )
 
 
+@query("s5_references_as_fasta", f"""SELECT 'AB' || doc_id || '|' || doc_id || '|' || lang || '_' || source AS id, {GENBANK} AS seq FROM {{documents}} WHERE {GENBANK} <> ''""")
+def _(t):
+    path = new_path(t.spark, "references")
+    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), ALPHABET, BASES)
+    refs = t.documents.select(F.concat(F.lit("AB"), "doc_id").alias("accession"), F.col("doc_id").alias("taxon_id"), F.concat_ws(" ", "lang", "source").alias("organism"), seq.alias("seq"))
+    fasta.write_fasta(genbank.to_fasta(refs.where("seq <> ''")), path)
+    return fasta.read_fasta(t.spark, path).select("id", "seq")
+
+
 @query("s6_fasta", L + " SELECT CAST(read_id AS VARCHAR) AS id, seq FROM reads")
 def _(t):
     path = new_path(t.spark, "fasta")
@@ -358,6 +367,13 @@ def _(t):
     return manifest.paired_manifest(files)
 
 
+@query("s10_sequence_manifest", """SELECT c_name || '-nc' AS sample, 'fasta' AS format, 'out/' || c_name || '/' || c_name || '-nonchimeras.fasta' AS file1 FROM {customer} WHERE c_custkey % 10 <> 3""")
+def _(t):
+    name = F.when(F.col("c_custkey") % 10 == 3, "GLOBAL").otherwise(F.col("c_name"))
+    files = t.customer.select(F.explode(F.array(*[F.concat(F.lit("out/"), name, F.lit("/"), name, F.lit(end)) for end in ("-nonchimeras.fasta", ".log")])).alias("path"))
+    return manifest.sequence_manifest(files)
+
+
 @query("s10_archive_files", """SELECT o_orderkey::VARCHAR AS "SampleID", o_orderstatus AS "SRA_accession", o_orderkey || '-5-LOW_' || m || '.fastq.gz' AS file
 FROM {orders} CROSS JOIN (SELECT unnest([1, 2]) AS m) WHERE o_orderpriority = '5-LOW'""")
 def _(t):

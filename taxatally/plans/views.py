@@ -85,12 +85,7 @@ def raw_lines(t: Tables) -> DataFrame:
     return t.sql(RAW.replace(f"({IDS})", "{ids}"), ids=study_ids(t))
 
 
-# Proportions of five species over sites, ponds and replicates in two experiments.
-METHODS = """
-SELECT CAST(user_id % 3 AS INT) AS site_no, CAST(user_id % 2 AS INT) AS pond_no,
-  CAST(user_id % 11 AS INT) AS species_no, event_type AS method,
-  CASE WHEN value > 150 THEN 1 ELSE 0 END AS present FROM {events}
-"""
+# Surveys of eleven species at two ponds of three sites, by method.
 _SITE = pick("user_id % 3", ["Bamff Estate", "Thorne Moors", "Tophill Low Nature Reserve"])
 _POND = pick("CAST(FLOOR(user_id / CAST(3 AS DOUBLE)) AS BIGINT) % 2", ["Pond 1", "Pond 2"])
 _SPEC = pick(

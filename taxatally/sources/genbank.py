@@ -10,11 +10,6 @@ def _field(name: str) -> Column:
     return F.trim(F.regexp_extract("value", rf"(?m)^{name} +(.*)$", 1))
 
 
-def _tail(text: Column, mark: str) -> Column:
-    """Text from the first line that starts with ``mark``."""
-    return F.regexp_extract(text, rf"(?s)(?:^|\n)({mark}.*)$", 1)
-
-
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
     """Reference records: accession, length, organism, taxon id, lineage, features, sequence.
 

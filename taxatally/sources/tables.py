@@ -10,15 +10,8 @@ from pyspark.sql import functions as F
 from taxatally.functions.ids import strip_suffix
 from taxatally.functions.numeric import to_count
 
-# Column types of the study's tables.
+# Column types of the study's sample table.
 CAPTIVE_SAMPLES = "Sample STRING, Location STRING, Individuals INT, Volume INT, No_filters INT, Notes STRING"
-CAPTIVE_PONDS = "Species STRING, Species_type STRING, Site STRING, Enclosure STRING, Individuals INT, Waterbody_size_m2 DOUBLE"
-BEHAVIOUR = "Location STRING, Sample STRING, Behaviour STRING, Frequency INT"
-ACCESSIONS = "SampleID STRING, marker STRING, SRA_accession STRING, BioSample_accession STRING, BioProject_accession STRING"
-READ_STATS = (
-    "sample STRING, total BIGINT, `trimmed-total` BIGINT, `trimmed-pe` BIGINT, `trimmed-orphans` BIGINT, merged BIGINT, "
-    "cluster_thres BIGINT, clusters_total BIGINT, clusters_min_cov BIGINT, cluster_above_thres BIGINT, queries BIGINT"
-)
 
 
 def read_table(spark: SparkSession, path: str, schema: str, sep: str = ",", null: str = "NA") -> DataFrame:

@@ -393,12 +393,12 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
     belongs = members.select("node", "star").union(centres.select(F.col("star").alias("node"), "star"))
     in_star = stored(belongs.join(centres, "star"), "in_star")
 
-    def lists(last: np.ndarray) -> DataFrame:
-        found = _prefixes(docs, last, percent, n, lower).join(in_star.drop("radius"), "node", "left")
-        return _postings(found.select(*(F.coalesce(x, F.col(y)).alias(x) for x, y in (("star", "node"), ("low", "size"), ("high", "size"))), "tokens"))
-
-    common = np.union1d(common, _long_lists(lists(common)))
-    meetings = stored(_meetings(lists(common), percent), "meetings")
+    # Counted by node, without the stars: the count only decides on the order.
+    single = _prefixes(docs, common, percent, n, lower).select(F.col("node").alias("star"), F.col("size").alias("low"), F.col("size").alias("high"), "tokens")
+    common = np.union1d(common, _long_lists(_postings(single)))
+    prefixes = _prefixes(docs, common, percent, n, lower).join(in_star.drop("radius"), "node", "left")
+    prefixes = prefixes.select(*(F.coalesce(x, F.col(y)).alias(x) for x, y in (("star", "node"), ("low", "size"), ("high", "size"))), "tokens")
+    meetings = stored(_meetings(_postings(prefixes), percent), "meetings")
     met = _compared(docs, meetings, nodes, n, lower)
     links = stars.filter(link).select("a", "b").union(inside).union(met.filter(link).select("a", "b"))
     found = stored(components(links), "found")

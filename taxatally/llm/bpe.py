@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import bound_batches
+
 #: Pre-token pattern of byte-level vocabularies. Fixed value: it must equal that of the file's library.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -30,6 +32,8 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 REMEMBERED = 400_000
 #: Places that are looked up at once when the index is made.
 STEP = 1 << 18
+#: Bytes of texts that are encoded together.
+GATHER = 20 << 20
 
 
 def byte_characters() -> list[str]:
@@ -173,12 +177,25 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``GATHER`` bytes; the index pays off over many words."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHER:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, known = load(path), {}
-        for batch in batches:
+        for batch in _gathered(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             if len(known) > REMEMBERED:
                 known.clear()
@@ -196,7 +213,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return bound_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .components import components
-from .words import mix, shingle_sets
+from .words import bound_batches, mix, shingle_sets
 
 #: Agreements of minima that make a candidate for a star, and minima in each.
 KEYS, MINIMA = 6, 3
@@ -361,7 +361,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
     ``row`` is a hash of the text. ``node`` and ``root`` are null for texts without words.
     """
     link = f"100 * shared >= {percent} * (size_a + size_b - shared)"
-    every = stored(_profiles(docs, n, lower), "profiles")
+    every = stored(_profiles(bound_batches(docs), n, lower), "profiles")
     profiles = every.filter("what = 0")
     ranked = every.filter("what = 1").groupBy("node").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "node").limit(COMMON)
     common = np.sort(ranked.select("node").toArrow().column(0).to_numpy().view(np.uint64))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Piece, grams, pieces
+from .words import Piece, bound_batches, grams, pieces
 
 #: Rows on which cost and rejection are estimated; the only use of the sample.
 SAMPLE_ROWS = 500
@@ -169,7 +169,7 @@ def passing(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
             kept = [run_cascade(Counts(p), rules) for p in pieces(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
 
-    return docs.mapInArrow(keep, docs.schema)
+    return bound_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def measure(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -197,7 +197,7 @@ def measure(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{n} long" for n in COUNTS) + ", base_failed boolean, kept boolean"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
+    return bound_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(count, schema)
 
 
 #: What ``measure`` gives with ``RULES``, as SQL over the table ``documents`` with distinct ids.

@@ -14,8 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 PIECE = 1 << 20
+#: Bytes of an Arrow batch of texts; by rows alone a batch of long texts has no bound.
+BATCH = 4 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,6 +28,12 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+def bound_batches(docs: DataFrame) -> DataFrame:
+    """Have Spark cut the batches it sends to tasks by bytes too; returns ``docs`` as it is."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return docs
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over all bits."""
     x = x ^ (x >> np.uint64(30))

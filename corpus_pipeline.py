@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from taxatally.llm import bpe, line_dedup, mixing, ngram_join, quality
 from taxatally.session import stored
 
+#: What makes two documents near copies, before lines are cut and after.
+NEAR_COPIES = {"n": 5, "percent": 80}
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that pass the quality rules."""
@@ -20,14 +23,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without the lines that more than a tenth of their source's documents hold."""
-    out = line_dedup.drop_boilerplate(docs, F.col("source"))
+    """Documents without the lines that more than a tenth of their source's documents hold.
+
+    Near copies count as one document, by the classes that the next stage would find, so what only
+    they share is not cut from all of them.
+    """
+    families = stored(ngram_join.families(docs, **NEAR_COPIES), "families")
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), families=families)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies."""
-    return ngram_join.keep_one(docs, n=5, percent=80)
+    return ngram_join.keep_one(docs, **NEAR_COPIES)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 A line is boilerplate of a host if more than ``ratio`` of the host's pages hold it, and at
 least ``least`` do. Pages are counted by content: pages of a host with the same text count
-once, so copies of a page don't make its lines boilerplate. Lines are compared without blanks
-at either end; empty lines are never dropped. Built-in functions only.
+once, so copies of a page don't make its lines boilerplate. Near copies do, unless the caller
+says by ``families`` which texts are one: then pages of a family count once, in the pages of the
+host and in those that hold a line. Lines are compared without blanks at either end; empty lines
+are never dropped. Built-in functions only.
 
 A host has at most (mean distinct lines of a page) / ``ratio`` boilerplate lines, so their list
 fits one row per host. A null host is a host of its own. A null text stays null; a text of
@@ -41,16 +43,21 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, families: DataFrame | None = None) -> DataFrame:
     """``host, lines``: hashes of the boilerplate lines of each host that has any.
 
-    ``docs`` has ``host`` and ``text``. Counts are exact and cover all rows.
+    ``docs`` has ``host`` and ``text``. ``families`` has one row ``page, family`` for each text
+    (``page`` is its xxhash64) that counts as one with others; texts it doesn't have stand for
+    themselves. Counts are exact and cover all rows.
     """
     keys = F.array_distinct(F.transform(F.filter(F.transform(_lines(F.col("text")), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x)))
     pages = docs.filter("text is not null").select("host", F.xxhash64("text").alias("page"), keys.alias("lines"))
     pages = pages.groupBy("host", "page").agg(F.first("lines").alias("lines"))
-    # The line 0 stands for the page itself and so counts the pages of the host.
-    marked = pages.select("host", F.explode(F.array_union(F.array(F.lit(None).cast("long")), "lines")).alias("line"))
+    if families is not None:
+        pages = pages.join(families, "page", "left").select("host", F.coalesce("family", "page").alias("page"), "lines")
+    # The null line stands for the page itself and so counts the pages of the host.
+    marked = pages.select("host", "page", F.explode(F.array_union(F.array(F.lit(None).cast("long")), "lines")).alias("line"))
+    marked = marked.select("host", "line") if families is None else marked.distinct()
     counts = marked.groupBy("host", "line").agg(F.count("*").alias("n"))
     counts = stored(counts.filter((F.col("n") >= least) | F.col("line").isNull()), "line_counts")
     totals = counts.filter("line is null").select(F.col("host").alias("_host"), F.col("n").alias("pages"))
@@ -58,9 +65,9 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST) -> Da
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST, families: DataFrame | None = None) -> DataFrame:
     """``docs`` with the boilerplate lines of each row's host cut from ``text``."""
-    bad = stored(boilerplate(docs.select(host.alias("host"), "text"), ratio, least), "boilerplate")
+    bad = stored(boilerplate(docs.select(host.alias("host"), "text"), ratio, least, families), "boilerplate")
     bad = bad.select(F.struct("host").alias("_site"), F.col("lines").alias("_bad"))
     marked = docs.withColumn("_site", F.struct(host.alias("host")))
     kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains("_bad", F.xxhash64(F.trim(x))) | (F.trim(x) == ""))

@@ -434,6 +434,12 @@ def linked(docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True) -
     return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.expr("if(root is null, doc_id, component_id)").alias("component_id"))
 
 
+def families(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """``page, family`` of each distinct text with words: its xxhash64 and the root of its class."""
+    rows = classes(docs, n, percent, lower).filter("root is not null")
+    return rows.groupBy(F.col("row").alias("page")).agg(F.min("root").alias("family"))
+
+
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """One document of each class, that with the smallest doc_id (null comes last).
 

@@ -77,3 +77,26 @@ def test_empty(spark):
     for _, run in corpus_pipeline.STAGES:
         docs = stored(run(spark, docs, FOLDER), "stage")
     assert docs.collect() == []
+
+
+def test_near_copies_survive_line_dedup_once(spark):
+    """A family of near copies above the ratio keeps its text in one document; real boilerplate goes."""
+    words = lambda key, n: " ".join(f"{key}{j}" for j in range(n))
+    report = [words(f"report{i}x", 20) for i in range(20)]
+    rows = []
+    for i in range(40):
+        lines = [*report]
+        # One line of each copy is edited, never the same way.
+        lines[i % 20] = words(f"edit{i}x", 20)
+        rows.append((i, "\n".join(lines)))
+    for i in range(100, 200):
+        rows.append((i, "\n".join([words(f"own{i}x", 60), "all rights reserved by the site", words(f"end{i}x", 60)])))
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    steps = dict(corpus_pipeline.STAGES)
+    cut = stored(steps["line dedup"](spark, docs, FOLDER), "stage")
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert all(texts[i] == t for i, t in rows if i < 100)
+    assert all(texts[i] == t.replace("all rights reserved by the site\n", "") for i, t in rows if i >= 100)
+    kept = sorted(r.doc_id for r in steps["n-gram Jaccard join"](spark, cut, FOLDER).collect())
+    assert kept == [0, *range(100, 200)]

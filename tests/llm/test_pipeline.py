@@ -100,3 +100,11 @@ def test_near_copies_survive_line_dedup_once(spark):
     assert all(texts[i] == t.replace("all rights reserved by the site\n", "") for i, t in rows if i >= 100)
     kept = sorted(r.doc_id for r in steps["n-gram Jaccard join"](spark, cut, FOLDER).collect())
     assert kept == [0, *range(100, 200)]
+
+
+def test_lines_in_a_twelfth_of_a_source_go(spark):
+    words = lambda key, n: " ".join(f"{key}{j}" for j in range(n))
+    rows = [(i, f"{words(f'own{i}x', 60)}{chr(10)}{'all rights reserved' if i % 12 == 0 else 'now and then' if i % 25 == 1 else 'end'}{'' if i % 12 == 0 or i % 25 == 1 else i}") for i in range(300)]
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    out = corpus_pipeline.line_stage(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema), FOLDER)
+    assert {r.doc_id: r.text for r in out.collect()} == {i: t.replace("\nall rights reserved", "") for i, t in rows}

@@ -284,24 +284,29 @@ def score(df: DataFrame, fit: Fit, y: str) -> DataFrame:
     return df.withColumn("fitted", inverse_logit(fit.linear())).withColumn("y", F.col(y).cast("double"))
 
 
+#: Blocks of levels by which the pairs of a contrast table are dealt out.
+BLOCKS = 16
+
+
 def level_contrasts(df: DataFrame, y: str, group: str) -> DataFrame:
     """All pairs of levels of one factor: difference in log odds, z and adjusted p.
 
     Equals the contrasts of the one-factor model. P values are Šidák-adjusted for the
-    number of pairs. The levels of a model term are few, so their means fit in one row and
-    the pairs are formed inside it.
+    number of pairs. There is one row per level; pairs are made by a join of these rows, dealt by
+    the blocks of both levels.
     """
     factor(df, group)  # raises when there are too many levels for a model term
     clean = df.where(F.col(y).isNotNull() & F.col(group).isNotNull())
     means = clean.groupBy(F.col(group).alias("level")).agg(F.count("*").alias("n"), F.avg(y).alias("mean"))
-    stats = means.select("level", logit("mean").alias("eta"), (1 / (F.col("n") * F.col("mean") * (1 - F.col("mean")))).alias("variance"))
-    one = stats.agg(F.sort_array(F.collect_list(F.struct("level", "eta", "variance"))).alias("a"))
-    first = one.select("a", F.posexplode("a").alias("i", "x"))
-    pairs = first.select("a", "x", F.explode(F.filter("a", lambda v: v["level"] > F.col("x.level"))).alias("y"))
+    stats = stored(means.select("level", logit("mean").alias("eta"), (1 / (F.col("n") * F.col("mean") * (1 - F.col("mean")))).alias("variance")), "levels")
+    own, other = F.pmod(F.xxhash64("level"), F.lit(BLOCKS)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long")))
+    side = lambda name, i, j: stats.select(F.struct("level", "eta", "variance").alias(name), i.alias("i"), j.alias("j"))
+    pairs = side("x", own, other).join(side("y", other, own), ["i", "j"]).where(F.col("y.level") > F.col("x.level"))
+    levels = stats.agg(F.count("*").cast("double")).scalar()
     diff, error = F.col("y.eta") - F.col("x.eta"), F.sqrt(F.col("x.variance") + F.col("y.variance"))
     out = pairs.select(
         F.col("y.level").alias("level"), F.col("x.level").alias("reference"), diff.alias("estimate"), error.alias("std_error"),
-        (diff / error).alias("z"), (F.size("a") * (F.size("a") - 1) / 2).alias("pairs"),
+        (diff / error).alias("z"), (levels * (levels - 1) / 2).alias("pairs"),
     )
     return out.withColumn("p_sidak", 1 - F.pow(1 - _two_sided("z"), F.col("pairs"))).drop("pairs")
 

@@ -107,6 +107,21 @@ def test_too_many_levels_for_a_term(spark):
         glm.level_contrasts(df, "y", "g")
 
 
+def test_contrasts_are_joined_from_one_row_per_level(spark):
+    n = 60
+    rows = [(f"g{i:02d}", float(k <= i)) for i in range(n) for k in range(n + 2)] + [(None, 1.0), ("g00", None)]
+    out = glm.level_contrasts(spark.createDataFrame(rows, "g string, y double"), "y", "g")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = {(r["level"], r["reference"]): r for r in out.collect()}
+    assert len(got) == n * (n - 1) // 2 and all(a > b for a, b in got)
+    eta, var = lambda i: math.log((i + 1) / (n + 1 - i)), lambda i: (n + 2) / ((i + 1) * (n + 1 - i))
+    for (a, b), r in got.items():
+        i, j = int(a[1:]), int(b[1:])
+        assert r["estimate"] == pytest.approx(eta(i) - eta(j)) and r["std_error"] == pytest.approx(math.sqrt(var(i) + var(j)))
+        p = math.erfc(abs(r["z"]) / math.sqrt(2))
+        assert r["p_sidak"] == pytest.approx(1 - (1 - p) ** (n * (n - 1) / 2), abs=1e-6)
+
+
 def test_models_take_complete_cases_and_refuse_unlisted_levels(spark):
     import pytest
 

@@ -8,7 +8,7 @@ costs one row each and no pair of a group is written out without need.
    that agrees with the most others; those near enough become members of its star.
 2. Index lists: each set enters the lists of its prefix, the tokens among which every partner
    must share some. Tokens that are common in any stretch of the table are ordered last, and then
-   those whose lists, counted over all sets, come out long. A star enters a list once for all its members. A list is ordered by size and skipped by blocks: once
+   those whose lists, counted over all sets, come out long. A star enters a list once for all its members. A list is ordered by size and left early: once
    a partner is too large, so are all behind it. A pair goes on only if it shares as many prefix
    tokens as its sizes demand.
 3. Answers from answers: what a member has and its centre has not, and the other way round, is

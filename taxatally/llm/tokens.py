@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
+from .chunks import Memory, slices, totals
+from .words import bound_batches, bounds
 
 SEGMENT = 1 << 18
-#: Words whose ids a Python worker remembers, and the longest of them; only saves work.
-REMEMBERED, LONGEST = 800_000, 64
+#: Ids of words that a Python worker remembers; only saves work.
+REMEMBERED = 2_000_000
+#: What stands between words.
+_BETWEEN = np.zeros(256, dtype=bool)
+_BETWEEN[[0x20, 0x0A]] = True
 _BLOCK = 64  # bytes of a bitmap between two entries of the rank directory
 
 
@@ -99,54 +105,56 @@ def _tokenizer(path: str):
     return tokenizer, ends
 
 
-_KNOWN: dict[str, dict[str, bytes]] = {}
+_KNOWN: dict[str, Memory] = {}
 
 
 class WordEncoder:
     """Encodes texts by their words, for tokenizers that treat blanks as ends of words only.
 
-    The ids of words seen before are remembered by the Python worker. Words of letters of the
-    Latin blocks, and such with one stop or comma behind, are encoded many in a call and told
-    apart by the tokens that end a word; all others go one by one.
+    A word is a run of bytes other than space and line end. The ids of words seen before are
+    remembered by the Python worker. Words of letters of the Latin blocks, and such with one
+    stop or comma behind, are encoded many in a call and told apart by the tokens that end a
+    word; all others go one by one.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.ends = _tokenizer(path)
-        self.known = _KNOWN.setdefault(path, {"": b""})
+        self.known = _KNOWN.setdefault(path, Memory(most=REMEMBERED))
 
-    def _one_by_one(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _one_by_one(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _together(self, words: list[str]) -> list[bytes]:
+    def _together(self, words: list[str]) -> list[list[int]]:
         """Ids of plain words; one by one if the ends of words don't come out as expected."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids
         cuts = np.flatnonzero(self.ends[ids]) + 1
         last = np.cumsum([1 + (w[-1] in ".,") for w in words]) - 1
         if len(cuts) != last[-1] + 1:
             return self._one_by_one(words)
-        raw, stops = ids.tobytes(), (cuts[last] * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            # The words met first are the common ones.
-            for word in list(self.known)[REMEMBERED // 2 :]:
-                del self.known[word]
-        long: dict[str, bytes] = {}  # for this call only
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*words).difference(self.known))
-        plain: list[str] = []
-        other: list[str] = []
-        for w in fresh:
-            (plain if (w.isalpha() or w[-1] in ".," and w[:-1].isalpha()) and max(w) < "\u0180" else other).append(w)
+        stops = cuts[last].tolist()
+        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _encode(self, words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+        texts = [w.decode() for w in words]
+        out: list[list[int]] = [[]] * len(texts)
+        plain: list[int] = []
+        other: list[int] = []
+        for i, w in enumerate(texts):
+            (plain if (w.isalpha() or w[-1] in ".," and w[:-1].isalpha()) and max(w) < "\u0180" else other).append(i)
         for part, encode in ((plain, self._together), (other, self._one_by_one)):
-            for i in range(0, len(part), 2000):
-                some = part[i : i + 2000]
-                for word, ids in zip(some, encode(some), strict=True):
-                    (self.known if len(word) <= LONGEST else long)[word] = ids
-        if not long:
-            return [b"".join(map(self.known.__getitem__, w)) for w in words]
-        return [b"".join([self.known[x] if x in self.known else long[x] for x in w]) for w in words]
+            for first in range(0, len(part), 2000):
+                some = part[first : first + 2000]
+                for i, ids in zip(some, encode([texts[i] for i in some]), strict=True):
+                    out[i] = ids
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return [(sizes, np.fromiter(chain.from_iterable(out), np.uint32, int(sizes.sum())))]
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The first row, the number of ids of every text and all ids, for some texts after others."""
+        for first, data, edges in slices(texts):
+            starts, ends = bounds(data, edges, _BETWEEN)
+            sizes, ids = self.known.look_up(data, starts, ends, self._encode)[0] if len(starts) else (np.empty(0, np.int64), np.empty(0, np.uint32))
+            yield first, totals(sizes, np.searchsorted(starts, edges)), ids
 
 
 _LEVEL = "array<binary>"
@@ -158,31 +166,30 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, inside = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
-        ids: list[pa.Array] = []
-        held: list[bytes] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         size = 0
 
         def segment() -> pa.RecordBatch:
             nonlocal inside
-            lengths = np.array([len(x) // 4 for x in held])
-            codes = Codes.of(np.frombuffer(b"".join(held), dtype="<u4"))
-            doc_ids = pa.concat_arrays(ids)
-            row = [[part], [inside], [int(lengths.sum())], doc_ids.slice(0, 1), doc_ids.slice(len(doc_ids) - 1, 1), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), [(np.cumsum(lengths) - lengths).tolist()], [codes.chunks], [codes.bits], [codes.ranks]]
+            doc_ids, lengths = pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            codes, n = Codes.of(np.concatenate([x[2] for x in held])), int(lengths.sum())
+            row = [[part], [inside], [n], doc_ids.slice(0, 1), doc_ids.slice(len(doc_ids) - 1, 1), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), [np.cumsum(lengths) - lengths], [codes.chunks], [codes.bits], [codes.ranks]]
             kinds = [pa.int32(), pa.int64(), pa.int64(), None, None, None, pa.list_(pa.int64()), *[pa.list_(pa.binary())] * 3]
-            inside += int(lengths.sum())
-            ids.clear()
+            inside += n
             held.clear()
             return pa.RecordBatch.from_arrays([v if k is None else pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            texts = batch.column(1)
-            for first in range(0, len(texts), 256):
-                some = [t or "" for t in texts.slice(first, 256).to_pylist()]
-                for at, found in enumerate(encode(some), first):
-                    ids.append(batch.column(0).slice(at, 1))
-                    held.append(found + end)
-                    size += len(found) // 4 + 1
+            for first, lengths, ids in encode(batch.column(1)):
+                doc_ids = batch.column(0).slice(first, len(lengths))
+                lengths, ids = lengths + 1, np.insert(ids, np.cumsum(lengths), end_id)
+                ends, begin = np.cumsum(lengths), 0
+                while begin < len(lengths):
+                    before = int(ends[begin - 1]) if begin else 0
+                    stop = min(len(lengths), int(np.searchsorted(ends, before + SEGMENT - size)) + 1)
+                    held.append((doc_ids.slice(begin, stop - begin), lengths[begin:stop], ids[before : ends[stop - 1]]))
+                    size += int(ends[stop - 1]) - before
+                    begin = stop
                     if size >= SEGMENT:
                         yield segment()
                         size = 0
@@ -194,7 +201,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     names = [f.split()[0] for f in schema.split(", ")]
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    dealt.mapInArrow(run, schema).write.parquet(f"{path}/segments")
+    bound_batches(dealt).mapInArrow(run, schema).write.parquet(f"{path}/segments")
 
 
 def open_store(spark: SparkSession, path: str) -> DataFrame:
@@ -227,6 +234,24 @@ def documents(store: DataFrame) -> DataFrame:
     return needed.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
+def read_tokens(store: DataFrame, start: int, stop: int) -> np.ndarray:
+    """The ids at places ``start`` up to ``stop`` of all ids of an opened store.
+
+    Only segments that hold some of them are read, and of these only the codes of those ids.
+    """
+    inside = store.filter((F.col("first_token") < stop) & (F.col("first_token") + F.col("n_tokens") > start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                base, total, chunks, bits, ranks = (batch.column(i)[row].as_py() for i in range(5))
+                ids = Codes(chunks, bits, ranks).read(max(0, start - base), min(total, stop - base))
+                yield pa.RecordBatch.from_arrays([pa.array([base], pa.int64()), pa.array([ids.astype("<u4").tobytes()], pa.binary())], ["first_token", "ids"])
+
+    found = inside.select("first_token", "n_tokens", "chunks", "bits", "ranks").mapInArrow(run, "first_token long, ids binary").orderBy("first_token").toArrow()
+    return np.frombuffer(b"".join(found.column(1).to_pylist()), dtype="<u4")
+
+
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write a store below the shared folder and read every document back from it."""
     path = new_path(docs.sparkSession, "tokens")

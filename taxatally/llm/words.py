@@ -22,7 +22,6 @@ BATCH = 4 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_WORD = ~_SPACE
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -79,11 +78,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def bounds(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of every word; no word runs over one of ``edges`` (text offsets)."""
+def bounds(data: np.ndarray, edges: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word; no word runs over one of ``edges`` (text offsets).
+
+    ``between`` marks the bytes that stand between words.
+    """
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    word = _WORD[data]
+    word = ~between[data]
     before, after = np.empty_like(word), np.empty_like(word)
     before[0], before[1:] = False, word[:-1]
     after[-1], after[:-1] = False, word[1:]

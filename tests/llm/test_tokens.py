@@ -67,6 +67,20 @@ def test_random_access_in_store(spark):
     assert tokens.Codes([bytes(x) for x in first.chunks], [bytes(x) for x in first.bits], [bytes(x) for x in first.ranks])[3] == ids[3]
 
 
+def test_tokens_over_segments(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENT", 300)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = new_path(spark, "tokens")
+    tokens.write(docs, path, WORD, 2)
+    library, every = Tokenizer.from_file(WORD), []
+    for r in docs.orderBy("doc_id").collect():
+        every += [*library.encode(r.text, add_special_tokens=False).ids, 2]
+    store = tokens.open_store(spark, path)
+    assert store.count() > 20
+    for a, b in [(0, 1), (0, len(every)), (250, 900), (299, 301), (len(every) - 1, len(every)), (7, 7), (5000, 5001)]:
+        assert tokens.read_tokens(store, a, b).tolist() == every[a:b]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.round_trip(docs, WORD).collect() == []

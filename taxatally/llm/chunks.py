@@ -40,7 +40,8 @@ def totals(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
 class Memory:
     """Rows of numbers by the hash of a run, in one or more columns of lists.
 
-    When more than ``most`` numbers are held all are forgotten, which costs work and nothing else.
+    When more than ``most`` numbers are held, runs that were met once are forgotten, and all
+    are if that doesn't halve them; this costs work and nothing else.
     """
 
     def __init__(self, columns: int = 1, most: int = 4_000_000):
@@ -49,29 +50,47 @@ class Memory:
 
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
+        self.seen = np.empty(0, np.int32)
         self.starts = [np.empty(0, np.int64) for _ in range(self.columns)]
         self.sizes = [np.empty(0, np.int64) for _ in range(self.columns)]
         self.values = [np.empty(0, np.uint32) for _ in range(self.columns)]
 
+    def _forget(self) -> None:
+        kept = self.seen > 0
+        if sum(int(size[kept].sum()) for size in self.sizes) > self.most // 2:
+            self.clear()
+            return
+        self.keys, self.seen = self.keys[kept], np.zeros(int(kept.sum()), np.int32)
+        for c in range(self.columns):
+            starts, sizes = self.starts[c][kept], self.sizes[c][kept]
+            self.values[c] = self.values[c][ragged(starts, sizes)]
+            self.starts[c], self.sizes[c] = np.cumsum(sizes) - sizes, sizes
+
     def _add(self, keys: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """``keys`` are sorted and new; ``found`` has the sizes and values of each column."""
         place = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, place, keys)
+        self.seen = np.insert(self.seen, place, 0)
         for c, (sizes, values) in enumerate(found):
             starts = np.cumsum(sizes) - sizes + len(self.values[c])
             self.starts[c] = np.insert(self.starts[c], place, starts)
             self.sizes[c] = np.insert(self.sizes[c], place, sizes)
             self.values[c] = np.concatenate((self.values[c], values.astype(np.uint32)))
 
-    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], lower: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each column, how many numbers every run has, and the numbers of all runs in a row.
 
-        ``encode`` gives the sizes and the values of each column for a list of runs.
+        ``encode`` gives the sizes and the values of each column for a list of runs; with ``lower``
+        runs that differ in A-Z and a-z only are one.
         """
         if sum(map(len, self.values)) > self.most:
-            self.clear()
-        keys, first, back = np.unique(word_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
-        new = ~np.isin(keys, self.keys, assume_unique=True)
+            self._forget()
+        keys, first, back = np.unique(word_hashes(data, starts, ends, lower), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        old = at < len(self.keys)
+        old[old] = self.keys[at[old]] == keys[old]
+        self.seen[at[old]] += 1
+        new = ~old
         if new.any():
             at = first[new]
             self._add(keys[new], encode([data[a:b].tobytes() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))

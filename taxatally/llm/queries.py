@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, bpe, chat, line_dedup, mixing, ngram_join, passages, quality, tokens, toxicity
+from . import alignment, ann, bpe, chat, html_text, line_dedup, mixing, ngram_join, passages, quality, tokens, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +85,16 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 ORACLES["op10_chat"] = chat.SQL
 
 
+@op
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@op
+def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 @op
 def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.scored(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .words import fresh
 
 RATIO, LEAST = 0.1, 3
 
@@ -67,12 +68,13 @@ def boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST, famil
 
 def drop_boilerplate(docs: DataFrame, host: Column, ratio: float = RATIO, least: int = LEAST, families: DataFrame | None = None) -> DataFrame:
     """``docs`` with the boilerplate lines of each row's host cut from ``text``."""
+    site, cut = fresh(docs, "site", "cut")
     bad = stored(boilerplate(docs.select(host.alias("host"), "text"), ratio, least, families), "boilerplate")
-    bad = bad.select(F.struct("host").alias("_site"), F.col("lines").alias("_bad"))
-    marked = docs.withColumn("_site", F.struct(host.alias("host")))
-    kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains("_bad", F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
-    text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    joined = marked.join(bad, "_site", "left")
+    bad = bad.select(F.struct("host").alias(site), F.col("lines").alias(cut))
+    marked = docs.withColumn(site, F.struct(host.alias("host")))
+    kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(cut, F.xxhash64(F.trim(x))) | (F.trim(x) == ""))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    joined = marked.join(bad, site, "left")
     return joined.select(*((text.alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns))
 
 

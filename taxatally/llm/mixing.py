@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .words import fresh
 
 #: Items that a task rounds as one block, and fractions that meet in one step up the tree.
 BLOCK, FAN_IN = 256, 512
@@ -147,10 +148,11 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3,
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, seed: int = 0) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    marked = docs.withColumn("_size", word_count())
-    chosen = decide(marked.select("doc_id", "source", F.col("_size").alias("size")), weights, most, seed)
+    size, key, copies, copy = fresh(docs, "size", "key", "copies", "copy")
+    marked = docs.withColumn(size, word_count())
+    chosen = decide(marked.select("doc_id", "source", F.col(size).alias("size")), weights, most, seed)
     chosen = stored(chosen.filter("copies > 0").select(F.xxhash64("doc_id", "source", "size").alias("_key"), F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_n"), "copies"), "copies")
-    marked = marked.withColumn("_key", F.xxhash64("doc_id", "source", "_size"))
-    same = (marked["_key"] == chosen["_key"]) & marked["doc_id"].eqNullSafe(chosen["_doc"]) & marked["source"].eqNullSafe(chosen["_source"]) & (marked["_size"] == chosen["_n"])
-    taken = marked.join(chosen.withColumnRenamed("copies", "_copies"), same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*(marked[c] for c in docs.columns))
+    marked = marked.withColumn(key, F.xxhash64("doc_id", "source", size))
+    same = (marked[key] == chosen["_key"]) & marked["doc_id"].eqNullSafe(chosen["_doc"]) & marked["source"].eqNullSafe(chosen["_source"]) & (marked[size] == chosen["_n"])
+    taken = marked.join(chosen.withColumnRenamed("copies", copies), same)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*(marked[c] for c in docs.columns))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .components import components
-from .words import bound_batches, mix, shingle_sets
+from .words import bound_batches, fresh, mix, shingle_sets, tidy
 
 #: Agreements of minima that make a candidate for a star, and minima in each.
 KEYS, MINIMA = 6, 3
@@ -124,7 +124,7 @@ def _profiles(docs: DataFrame, n: int, lower: bool) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, row long, node long, size long, keys array<long>, what int"
+        tidy(run), f"doc_id {kind}, row long, node long, size long, keys array<long>, what int"
     )
 
 
@@ -150,7 +150,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int, lower: bool) -> DataFra
 
     # At most BUCKETS rows, so the broadcast is bounded.
     near = docs.withColumn("bucket", _bucket()).join(F.broadcast(wanted.select("bucket").distinct()), "bucket", "left_semi")
-    sets = near.select(F.col("text").cast("string")).mapInArrow(run, "node long, found binary")
+    sets = near.select(F.col("text").cast("string")).mapInArrow(tidy(run), "node long, found binary")
     return sets.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
 
 
@@ -180,7 +180,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, n: int, lower
     sets = _sets_of(docs, wanted, n, lower)
     first = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
     both = first.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(run, "a long, b long, shared long, size_a long, size_b long, differ binary"), "compared")
+    return stored(both.mapInArrow(tidy(run), "a long, b long, shared long, size_a long, size_b long, differ binary"), "compared")
 
 
 def _linked_members(sizes: np.ndarray, differ: list[np.ndarray], percent: int) -> np.ndarray:
@@ -236,33 +236,48 @@ def _inside(members: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.filter("blocks = 1 or own <> other").select("star", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "size", "differ")
     ordered = dealt.repartition("star", "x", "y").sortWithinPartitions("star", "x", "y")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(tidy(run), "a long, b long")
+
+
+def _cut_prefixes(batches: Iterator[pa.RecordBatch], last: np.ndarray, percent: int, n: int, lower: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Node, size and prefix of each different set of a task, in the order "common last, then by hash"."""
+    seen = set()
+    for batch in batches:
+        for _, found, node in _sets(batch.column(0), n, lower):
+            size = len(found)
+            if not size or node in seen:
+                continue
+            seen.add(node)
+            length = size - -(-percent * size // 100) + 1
+            if len(last):
+                often = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+                rare = found[~often][:length]
+                found = np.concatenate((rare, found[often][: length - len(rare)] | _LAST))
+            yield node, size, found[:length]
 
 
 def _prefixes(docs: DataFrame, common: np.ndarray, percent: int, n: int, lower: bool) -> DataFrame:
-    """``node, size, tokens`` of every document: its prefix in the order "common last, then by hash"."""
+    """``node, size, tokens`` of every document; ``tokens`` is its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = shared.value, set()
-        for batch in batches:
-            nodes, sizes, tokens = [], [], []
-            for _, found, node in _sets(batch.column(0), n, lower):
-                size = len(found)
-                if not size or node in seen:
-                    continue
-                seen.add(node)
-                length = size - -(-percent * size // 100) + 1
-                if len(last):
-                    often = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
-                    rare = found[~often][:length]
-                    found = np.concatenate((rare, found[often][: length - len(rare)] | _LAST))
-                nodes.append(node)
-                sizes.append(size)
-                tokens.append(found[:length].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], ["node", "size", "tokens"])
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nodes, sizes, tokens = zip(*rows, strict=True)
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], ["node", "size", "tokens"])
+
+        for node, size, tokens in _cut_prefixes(batches, shared.value, percent, n, lower):
+            rows.append((node, size, tokens.tobytes()))
+            held += tokens.nbytes
+            if held > OUT:
+                yield flush()
+                held = 0
+        if rows:
+            yield flush()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "node long, size long, tokens binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "node long, size long, tokens binary")
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
@@ -292,12 +307,35 @@ def _postings(prefixes: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return prefixes.select("star", "low", "high", "tokens").mapInArrow(run, "token long, star long, low long, high long")
+    return prefixes.select("star", "low", "high", "tokens").mapInArrow(tidy(run), "token long, star long, low long, high long")
+
+
+def _long_lists(docs: DataFrame, common: np.ndarray, percent: int, n: int, lower: bool) -> np.ndarray:
+    """Tokens of the longest index lists, from ``LONG`` entries on, counted by node without the stars.
 
+    Tasks add up before they send anything, and prefixes stay in the task that makes them.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        rows = 0
+
+        def flush() -> pa.RecordBatch:
+            token, count = np.unique(np.concatenate(held) & ~_LAST, return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([_long(token), pa.array(count)], ["token", "n"])
+
+        for _, _, tokens in _cut_prefixes(batches, shared.value, percent, n, lower):
+            held.append(tokens)
+            rows += len(tokens)
+            if rows > 8 * HOLD:
+                yield flush()
+                rows = 0
+        if held:
+            yield flush()
 
-def _long_lists(postings: DataFrame) -> np.ndarray:
-    """Tokens of the longest index lists, from ``LONG`` entries on."""
-    counts = postings.select(F.col("token").bitwiseAND(F.lit((1 << 63) - 1)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") > LONG).orderBy(F.desc("n"), "token").limit(COMMON)
     return top.select("token").toArrow().column(0).to_numpy().view(np.uint64)
 
@@ -351,7 +389,7 @@ def _meetings(postings: DataFrame, percent: int) -> DataFrame:
             yield flush()
 
     lists = postings.repartition("token").sortWithinPartitions("token", "low", "star")
-    met = lists.mapInArrow(run, "a long, b long, shared long, least long")
+    met = lists.mapInArrow(tidy(run), "a long, b long, shared long, least long")
     return met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).filter("shared >= least").select("a", "b")
 
 
@@ -393,9 +431,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
     belongs = members.select("node", "star").union(centres.select(F.col("star").alias("node"), "star"))
     in_star = stored(belongs.join(centres, "star"), "in_star")
 
-    # Counted by node, without the stars: the count only decides on the order.
-    single = _prefixes(docs, common, percent, n, lower).select(F.col("node").alias("star"), F.col("size").alias("low"), F.col("size").alias("high"), "tokens")
-    common = np.union1d(common, _long_lists(_postings(single)))
+    # The count only decides on the order.
+    common = np.union1d(common, _long_lists(docs, common, percent, n, lower))
     prefixes = _prefixes(docs, common, percent, n, lower).join(in_star.drop("radius"), "node", "left")
     prefixes = prefixes.select(*(F.coalesce(x, F.col(y)).alias(x) for x, y in (("star", "node"), ("low", "size"), ("high", "size"))), "tokens")
     meetings = stored(_meetings(_postings(prefixes), percent), "meetings")
@@ -448,10 +485,11 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
     rows = classes(docs, n, percent, lower)
     empty = rows.filter("root is null").select("doc_id", "row")
     first = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("m"))
+    text_key, key = fresh(docs, "row", "key")
     keep = stored(empty.union(first.select("m.doc_id", "m.row")).select(F.xxhash64("doc_id", "row").alias("_key"), F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct(), "keep")
-    marked = docs.withColumns({"_row": F.xxhash64("text")}).withColumn("_key", F.xxhash64("doc_id", "_row"))
-    same = (marked["_key"] == keep["_key"]) & marked["doc_id"].eqNullSafe(keep["_doc"]) & (marked["_row"] == keep["_row"])
-    return marked.join(keep, same, "left_semi").dropDuplicates(["_key", "doc_id", "_row"]).select(*docs.columns)
+    marked = docs.withColumn(text_key, F.xxhash64("text")).withColumn(key, F.xxhash64("doc_id", text_key))
+    same = (marked[key] == keep["_key"]) & marked["doc_id"].eqNullSafe(keep["_doc"]) & (marked[text_key] == keep["_row"])
+    return marked.join(keep, same, "left_semi").dropDuplicates([key, "doc_id", text_key]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def linked_sql(n: int = 4, percent: int = 85) -> str:

@@ -8,7 +8,9 @@ Hashes have 64 bits; two different words or n-grams are taken for equal with a c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +35,33 @@ def bound_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names with underscores behind, as many as it takes to be unlike all columns of ``docs``."""
+    taken, tail = {c.lower() for c in docs.columns}, "_"
+    while any(n + tail in taken for n in names):
+        tail += "_"
+    return [n + tail for n in names]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, with freed memory given back to the system before and after.
+
+    A Python worker serves many tasks, and what one has freed would stay with it otherwise.
+    """
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # there is no such call outside of glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every bit of 64-bit values over all bits."""
     x = x ^ (x >> np.uint64(30))

@@ -9,9 +9,11 @@ import public_tokenizers
 from test_line_dedup import brute as lines_brute
 from test_mixing import check as check_mix
 from test_ngram_join import brute as copies_brute
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from taxatally.llm import line_dedup, mixing, ngram_join
 from taxatally.session import stored
 
 FOLDER = "/root/testdata/sf0.001"
@@ -108,3 +110,13 @@ def test_lines_in_a_twelfth_of_a_source_go(spark):
     schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
     out = corpus_pipeline.line_stage(spark, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema), FOLDER)
     assert {r.doc_id: r.text for r in out.collect()} == {i: t.replace("\nall rights reserved", "") for i, t in rows}
+
+
+def test_names_that_operators_use_themselves(spark):
+    names = ["_row", "_key", "_size", "_bad", "_site", "_copies", "_copy", "row_", "key_", "size_", "site_", "cut_", "copies_", "copy_"]
+    rows = [(i, f"line of text number {i % 4} with some more words in it\nsecond", "s", *range(i, i + len(names))) for i in range(8)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long, text string, source string", *(f"{n} int" for n in names)]))
+    for out in (ngram_join.keep_one(docs), line_dedup.drop_boilerplate(docs, F.col("source"), 0.9), mixing.mix(docs)):
+        got = out.collect()
+        assert out.columns == docs.columns and got
+        assert all(tuple(r)[3:] == rows[r.doc_id][3:] for r in got)

@@ -23,17 +23,17 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import bound_batches
+from .words import bound_batches, tidy
 
 #: Pre-token pattern of byte-level vocabularies. Fixed value: it must equal that of the file's library.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 #: Distinct pre-tokens that a task remembers from batch to batch; only saves work.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Places that are looked up at once when the index is made.
 STEP = 1 << 18
 #: Bytes of texts that are encoded together.
-GATHER = 20 << 20
+GATHER = 8 << 20
 
 
 def byte_characters() -> list[str]:
@@ -210,10 +210,9 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             del texts
         # The worker goes on to other tasks; what this one held should not stay with it.
         known.clear()
-        pa.default_memory_pool().release_unused()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return bound_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return bound_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from taxatally.operators.glm import INTERCEPT, Fit, Term, _symmetric, _triangle, design, fit_patterns, patterns
 from taxatally.operators.glmm import _grouped, _numbers, _total, fit_glmm_patterns
@@ -27,8 +28,9 @@ from taxatally.session import stored
 
 #: Bounds of a standard deviation; at the lower one it is reported as 0.
 LOWEST, HIGHEST = 1e-3, 50.0
-#: Largest Newton move of an intercept, and moves at which a mode counts as found.
-LONGEST_MOVE, SMALL_MOVE = 3.0, 1e-7
+#: Largest Newton move of an intercept, and the moves after which a mode counts as found: the next ones
+#: would be about their squares.
+LONGEST_MOVE, SMALL_MOVE = 3.0, 1e-4
 
 
 @dataclass
@@ -70,8 +72,8 @@ class Likelihood:
         v2 = _numbers(variances)[1]
         return fine.selectExpr("*", f"1 / (1 + w * {v2}) AS f", f"{v2} / (1 + w * {v2}) AS i", f"r - u2 / {v2} AS g2")
 
-    def _moved(self, modes: DataFrame, beta: np.ndarray, variances: Sequence[float]) -> DataFrame:
-        """All intercepts after a Newton step, the fixed effects kept."""
+    def _moved(self, modes: DataFrame, beta: np.ndarray, variances: Sequence[float]) -> tuple[DataFrame, float]:
+        """All intercepts after a Newton step, the fixed effects kept, and the largest move."""
         v1 = _numbers(variances)[0]
         fine = _grouped(self._rows(modes, beta), self.keys, ["max(u1) AS u1", "max(u2) AS u2", _total("wt", "w"), _total("res", "r")])
         fine = self._eliminated(fine, variances)
@@ -82,14 +84,16 @@ class Likelihood:
         # A shortened step must be the same for all rows of an outer level, or its rows would disagree.
         least = _grouped(both, self.keys[:1], ["min(share) AS share"])
         both = both.drop("share").join(least, self.keys[0])
-        return stored(both.selectExpr(*self.keys, "u1 + share * m1 AS u1", "u2 + share * m2 AS u2", "greatest(abs(m1), abs(m2)) AS move"), "modes")
+        moved = both.selectExpr(*self.keys, "u1 + share * m1 AS u1", "u2 + share * m2 AS u2", "greatest(abs(m1), abs(m2)) AS move")
+        seen = Observation()  # the largest move comes with the writing, not from another job
+        return stored(moved.observe(seen, F.max("move").alias("move")), "modes"), seen.get["move"]
 
     def modes(self, beta: np.ndarray, variances: Sequence[float], modes: DataFrame | None = None) -> DataFrame:
         """Intercepts ``u1``, ``u2`` of every level at the mode, searched from ``modes`` on."""
         modes = self.start if modes is None else modes
         for _ in range(self.rounds):
-            modes = self._moved(modes, beta, variances)
-            if modes.agg({"move": "max"}).first()[0] < SMALL_MOVE:
+            modes, move = self._moved(modes, beta, variances)
+            if move < SMALL_MOVE:
                 break
         return modes
 
@@ -178,15 +182,15 @@ def _search(likelihood: Likelihood, beta: np.ndarray, deviations: np.ndarray, co
     return point, now, cap, False
 
 
-def fit_laplace_patterns(cells: DataFrame, terms: Sequence[Term], random: Sequence[str], fixed_variances: Sequence[float] | None = None, cap: int = 40, tolerance: float = 1e-8) -> Fit:
+def fit_laplace_patterns(cells: DataFrame, terms: Sequence[Term], random: Sequence[str], fixed_variances: Sequence[float] | None = None, cap: int = 40, tolerance: float = 1e-7) -> Fit:
     """Fit to a table of covariate patterns that also holds the random levels.
 
-    The search begins at the joint-mode fit, or with given variances, which then stay, at a fit
+    The search begins at some steps of the joint-mode fit, or with given variances, which then stay, at a fit
     without random levels. A variance at its lower bound is reported as 0. The covariance
     is that of the fixed effects given the variances.
     """
     cells = stored(cells, "patterns")
-    first = fit_patterns(cells, terms) if fixed_variances is not None else fit_glmm_patterns(cells, terms, list(random))
+    first = fit_patterns(cells, terms) if fixed_variances is not None else fit_glmm_patterns(cells, terms, list(random), cap=6)
     likelihood = Likelihood(cells, terms, random)
     begin = [max(v, 0.05) for v in (fixed_variances or list(first.random_variance.values()))]
     if fixed_variances is not None:

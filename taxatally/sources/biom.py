@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxatally.session import stored
 from taxatally.sources.tables import write_count_table
 
 SCHEMA = (
@@ -52,17 +53,18 @@ def write_biom(counts: DataFrame, path: str, cells_per_document: int = 50_000) -
     """
     if "taxonomy" not in counts.columns:
         counts = counts.withColumn("taxonomy", F.lit(None).cast("array<string>"))
-    documents = max(1, -(-counts.count() // cells_per_document))
-    dealt = counts.withColumn("doc", F.pmod(F.xxhash64("otu", "sample"), F.lit(documents)))
-    per = dealt.groupBy("doc").agg(
-        F.sort_array(F.collect_set(F.struct("otu", "taxonomy"))).alias("otus"),
-        F.sort_array(F.collect_set("sample")).alias("samples"),
-        F.collect_list(F.struct("otu", "sample", "reads")).alias("cells"),
-    )
-    # Positions by name, looked up once per cell.
-    names = F.transform("otus", lambda o: o["otu"])
-    index = [F.map_from_arrays(n, F.sequence(F.lit(0), F.size(n) - 1)) for n in (names, F.col("samples"))]
-    per = per.withColumns({"row_of": index[0], "column_of": index[1]})
+    held = stored(counts.select("otu", "sample", "reads", "taxonomy"), "cells")
+    documents = max(1, -(-held.count() // cells_per_document))
+    dealt = held.withColumn("doc", F.pmod(F.xxhash64("otu", "sample"), F.lit(documents)))
+    # Names get their positions by a join, once for each name of a document.
+    named = dealt.groupBy("doc", "otu").agg(F.max("taxonomy").alias("taxonomy"))
+    otus = stored(named.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("otu", "taxonomy"))).alias("otus")), "otus")
+    samples = stored(dealt.groupBy("doc").agg(F.sort_array(F.collect_set("sample")).alias("samples")), "samples")
+    rows = otus.select("doc", F.posexplode("otus").alias("row", "o")).select("doc", "row", "o.otu")
+    columns = samples.select("doc", F.posexplode("samples").alias("column", "sample"))
+    placed = dealt.join(rows, ["doc", "otu"]).join(columns, ["doc", "sample"])
+    cells = placed.groupBy("doc").agg(F.collect_list(F.array(F.col("row").cast("bigint"), F.col("column").cast("bigint"), F.col("reads").cast("bigint"))).alias("cells"))
+    per = cells.join(otus, "doc").join(samples, "doc")
     document = F.struct(
         F.col("doc").cast("string").alias("id"),
         F.lit("Biological Observation Matrix 1.0.0").alias("format"),
@@ -72,12 +74,7 @@ def write_biom(counts: DataFrame, path: str, cells_per_document: int = 50_000) -
         F.array(F.size("otus"), F.size("samples")).alias("shape"),
         F.transform("otus", lambda o: F.struct(o["otu"].alias("id"), F.struct(o["taxonomy"].alias("taxonomy")).alias("metadata"))).alias("rows"),
         F.transform("samples", lambda s: F.struct(s.alias("id"))).alias("columns"),
-        F.transform(
-            "cells",
-            lambda c: F.array(
-                F.element_at("row_of", c["otu"]).cast("bigint"), F.element_at("column_of", c["sample"]).cast("bigint"), c["reads"].cast("bigint")
-            ),
-        ).alias("data"),
+        F.col("cells").alias("data"),
     )
     per.select(F.to_json(document).alias("value")).write.text(path)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from taxatally.operators import contrasts, describe, glm, laplace
+from taxatally.functions.distributions import normal_quantile_sql
+from taxatally.operators import contrasts, describe, glm, laplace, rank_tests, shapiro
 from taxatally.operators.glm import Numeric
 from taxatally.operators.reshape import prediction_grid
 from taxatally.plans.registry import Tables, query
@@ -93,3 +94,30 @@ def _(t: Tables):
     grid = prediction_grid(t.spark, {}, {"quantity": (low, high), "tax": (0.0, 0.08)}, 500)
     curve = describe.collapse_predictions(glm.predict(grid, fit).withColumn("quantity", F.round("quantity", 6)), "quantity", ["fit", "lower", "upper"])
     return rounded(curve, 6, "fit", "lower", "upper")
+
+
+# ---------------------------------------------------------------- normality
+_Z = "(value - 60) / 80"
+_CDF = """CASE WHEN z > 7 THEN 1.0 WHEN z < -7 THEN 0.0 ELSE 0.5 + sign(z) * exp(-z * z / 2) / sqrt(2 * pi()) *
+list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - lgamma(2 * k + 2) + k * ln(2) + lgamma(k + 1)))) END"""
+
+
+@query("m14_scaled_against_normal", f"""WITH s AS (SELECT {_Z} AS z, row_number() OVER (ORDER BY value) AS i, COUNT(*) OVER () AS n FROM {{events}} WHERE value IS NOT NULL),
+c AS (SELECT i, n, {_CDF} AS p FROM s) SELECT ROUND(MAX(greatest(i / n - p, p - (i - 1) / n)), 8) AS statistic FROM c""")
+def _(t: Tables):
+    """The normal distribution function by its series, in SQL."""
+    return rank_tests.against_standard_normal(t.events.selectExpr(f"{_Z} AS z"), "z").select(F.round("statistic", 8).alias("statistic"))
+
+
+_WEIGHT = """w AS (SELECT n, u, mm, m0, m1, x0, x1, y0, y1, mx, squares, m0 / sqrt(mm) + 0.221157 * u - 0.147981 * u ** 2 - 2.071190 * u ** 3 + 4.434685 * u ** 4 - 2.706056 * u ** 5 AS a0,
+m1 / sqrt(mm) + 0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4 - 3.582633 * u ** 5 AS a1 FROM k)"""
+
+
+@query("m13_w_test", f"""WITH s AS (SELECT value, row_number() OVER (ORDER BY value) AS i, COUNT(*) OVER () AS n FROM {{events}}),
+r AS (SELECT value, i, n, (i - CAST(0.375 AS DOUBLE)) / (n + CAST(0.25 AS DOUBLE)) AS p FROM s), q AS (SELECT value, i, n, {normal_quantile_sql('p')} AS m FROM r),
+k AS (SELECT ANY_VALUE(n) AS n, 1 / sqrt(ANY_VALUE(n)) AS u, SUM(m * m) AS mm, SUM(m * value) AS mx, var_pop(value) * ANY_VALUE(n) AS squares, MAX(m) AS m0, MAX(m) FILTER (WHERE i = n - 1) AS m1,
+  MIN(value) AS x0, MAX(value) FILTER (WHERE i = 2) AS x1, MAX(value) AS y0, MAX(value) FILTER (WHERE i = n - 1) AS y1 FROM q), {_WEIGHT}
+SELECT CAST(n AS BIGINT) AS n, ROUND((a0 * (y0 - x0) + a1 * (y1 - x1) + (mx - m0 * (y0 - x0) - m1 * (y1 - x1)) / sqrt((mm - 2 * m0 ** 2 - 2 * m1 ** 2) / (1 - 2 * a0 ** 2 - 2 * a1 ** 2))) ** 2 / squares, 8) AS w FROM w""")
+def _(t: Tables):
+    n, w = shapiro.w_statistic(t.events, "value", "event_id")
+    return small_table(t.spark, "n bigint, w double", [[n, round(w, 8)]])

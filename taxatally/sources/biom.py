@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxatally.session import stored
@@ -85,3 +85,60 @@ def write_tsv(counts: DataFrame, path: str, samples: list[str], lineage: bool =
     if lineage:
         rows = rows.withColumn("taxonomy", F.array_join("taxonomy", ";"))
     write_count_table(rows, path, samples, sep="\t", lineage="taxonomy" if lineage else None)
+
+
+#: A cell at the end of what stands before a closing bracket: row, column and count.
+_CELL = r"\[\s*(\d+)\s*,\s*(\d+)\s*,\s*(-?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)\s*$"
+_ID = r'"id"\s*:\s*"((?:[^"\\]|\\.)*)"'
+_TAXONOMY = r'"taxonomy"\s*:\s*\[((?:\s*"(?:[^"\\]|\\.)*"\s*,?)*)\s*\]'
+
+
+def _pieces(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """What stands before each ``end`` of a file, with its place: by part of the file, then in it."""
+    return spark.read.option("lineSep", end).text(path).select(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+
+
+def _numbered(entries: DataFrame) -> DataFrame:
+    """Entries with their index in the file; one sum for each part of the file, no window over all."""
+    parts = stored(entries.groupBy("block").agg(F.count("*").alias("n")), "parts")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("block").orderBy("at")) - 1
+    return entries.withColumn("own", own).join(parts.select("block", before.alias("before")), "block").withColumn("index", (F.col("before") + F.col("own")).cast("int")).drop("own", "before")
+
+
+def read_large_biom(spark: SparkSession, path: str) -> DataFrame:
+    """One large document as long rows ``(otu, sample, reads, taxonomy)``, read by as many tasks as it has parts.
+
+    The file is cut at closing brackets wherever Spark splits it, so cells need no whole document
+    in one place; names are cut at closing braces, numbered by their place in the file and joined. The
+    document must be sparse. One whose names hold braces, or that breaks the form otherwise, gives other
+    names than its ``shape`` says, which is an error; ``read_biom_file`` reads it.
+    """
+    cells = _pieces(spark, path, "]").select(F.regexp_extract_all("value", F.lit(_CELL), F.lit(0)).alias("cell"), "value").where(F.size("cell") > 0)
+    part = lambda i: F.regexp_extract("value", _CELL, i)
+    cells = cells.select(part(1).cast("int").alias("row"), part(2).cast("int").alias("column"), part(3).cast("double").cast("bigint").alias("reads"))
+    named = _pieces(spark, path, "}")
+    # The key that opens a list stands in the piece of its first entry.
+    marks = named.select("block", "at", F.col("value").rlike(r'"rows"\s*:\s*\[').alias("rows"), F.col("value").rlike(r'"columns"\s*:\s*\[').alias("columns"))
+    places = marks.where("rows or columns").agg(F.min(F.when(F.col("rows"), F.struct("block", "at"))).alias("rows"), F.min(F.when(F.col("columns"), F.struct("block", "at"))).alias("columns")).first()
+    shape = _pieces(spark, path, "]").select(F.regexp_extract("value", r'"shape"\s*:\s*\[\s*(\d+)\s*,\s*(\d+)\s*$', 1).alias("n"), F.regexp_extract("value", r'"shape"\s*:\s*\[\s*(\d+)\s*,\s*(\d+)\s*$', 2).alias("m")).where("n <> ''").first()
+    if not (places and places["rows"] and places["columns"] and shape):
+        raise ValueError("not a sparse table with rows, columns and a shape")
+    here = F.struct("block", "at")
+    at = {k: F.struct(F.lit(places[k]["block"]).cast("bigint").alias("block"), F.lit(places[k]["at"]).cast("bigint").alias("at")) for k in ("rows", "columns")}
+    first, second = ("rows", "columns") if tuple(places["rows"]) < tuple(places["columns"]) else ("columns", "rows")
+    # The id of the document itself stands before both lists, in the piece that opens the first one.
+    entries = named.withColumn("value", F.regexp_replace("value", r'(?s)^.*"(?:rows|columns)"\s*:\s*\[', "")).where(F.col("value").rlike(r'^[\s,]*\{\s*"id"|^[\s,]*\{.*"id"\s*:'))
+    tables = {}
+    for name, inside, size in ((first, here < at[second], shape["n" if first == "rows" else "m"]), (second, here >= at[second], shape["n" if second == "rows" else "m"])):
+        found = _numbered(entries.where((here >= at[first]) & inside))
+        found = stored(found.select("index", F.regexp_replace(F.regexp_extract("value", _ID, 1), r"\\(.)", "$1").alias("id"), F.regexp_extract("value", _TAXONOMY, 1).alias("taxonomy"), F.col("value").rlike(_TAXONOMY).alias("named"), F.col("value").rlike(_ID).alias("whole")), name)
+        if found.count() != int(size) or not found.where(~F.col("whole")).isEmpty():
+            raise ValueError(f"{name} can't be told apart; read the document whole")
+        tables[name] = found
+    names = F.when(F.col("named"), F.transform(F.regexp_extract_all("taxonomy", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda x: F.regexp_replace(x, r"\\(.)", "$1")))
+    rows = tables["rows"].select(F.col("index").alias("row"), F.col("id").alias("otu"), names.alias("taxonomy"))
+    columns = tables["columns"].select(F.col("index").alias("column"), F.col("id").alias("sample"))
+    return cells.join(rows, "row").join(columns, "column").select("otu", "sample", "reads", "taxonomy")

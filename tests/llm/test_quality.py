@@ -3,9 +3,12 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from oracle import database, difference
 
 from taxatally.llm import quality
+from taxatally.llm.words import pieces
 
 
 def counts(text):
@@ -54,3 +57,27 @@ def test_short_circuit(spark):
 def test_sql(spark):
     folder = "/root/testdata/sf0.01"
     assert difference(quality.measure(spark.read.parquet(f"{folder}/documents.parquet")), database(folder), quality.SQL) is None
+
+
+def test_the_cascade_saves_work(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    n, rules = docs.count(), quality.cascade(docs)
+    got = {r.rule: r for r in quality.work(docs, rules).collect()}
+    left = n
+    for r in rules:
+        assert got[r.name].looked_at == left
+        left -= got[r.name].rejected
+    assert left == quality.passing(docs, rules).count()
+    assert sum(r.looked_at for r in got.values()) < 0.95 * n * len(rules)
+
+
+def test_counts_are_computed_for_rows_asked_for():
+    texts = pa.array(["one two three", None, "a b c a b c", "x\nx\ny", "é # ü"])
+    piece = next(iter(pieces(texts)))
+    c = quality.Counts(piece)
+    rows = np.array([2, 3])
+    for name in (*quality.COUNTS, "n_lines"):
+        some = getattr(c, name)(rows)
+        assert c.computed[name] == 2
+        every = getattr(c, name)(np.arange(5))
+        assert c.computed[name] == 5 and (every[rows] == some).all() and (every == getattr(quality.Counts(piece), name)(np.arange(5))).all()

@@ -6,6 +6,9 @@ order of the expected success of the perturbation; the order of the perturbation
 once, from the expected distances to the stripe edges, and mapped to each query by sorting its
 own distances. Candidates of all tables are put together and ranked by the exact cosine.
 
+Where the fit takes as many probes as a table has buckets around a query (the last options), all of them
+are looked at and the order plays no part; on evenly spread vectors that is nearly a full scan.
+
 Rows are spread over shards by a hash of their id; a shard builds its tables in one task and
 the queries pass by it in a stream. Every row is indexed; a bucket has no cap. A hot vector
 is spread over the shards like any other rows.

@@ -1,11 +1,10 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
-
-Suffixes are kept only where content selects them: of every ``LENGTH`` words in a row, the place
-of the smallest hash of ``GRAM`` words. Two equal stretches of ``LENGTH`` words select the same
-place in them, so none is lost. The suffixes are put in order of their first ``GRAM`` words and
-neighbours are compared; those that agree with a suffix of another text are extended left and
-right, over all stretches of ``LENGTH`` words that selected them, and the extensions are put in
-order and compared in the same way. Stretches found are joined to spans.
+"""Passages that repeat across documents, found at places that content selects.
+
+Of every ``LENGTH`` words in a row, the place of the smallest hash of ``GRAM`` words is selected. Two
+equal stretches of ``LENGTH`` words select the same place in them, so none is lost. Places are grouped
+by the hash of their ``GRAM`` words; around those that stand in several texts, all stretches of
+``LENGTH`` words that selected them are grouped by theirs. Stretches found are joined to spans. No
+suffix is put in order and no common length is computed: hash groups replace both.
 
 A task settles what repeats among its own texts and passes on one row for it, so a passage that
 very many texts share doesn't meet in one task.

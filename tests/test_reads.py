@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from taxatally.functions.sequences import reverse_complement
+from taxatally.functions.sequences import reverse_complement, trim_window
 from taxatally.operators import assign
 from taxatally.operators import reads as rd
 from taxatally.session import small_table
@@ -236,3 +236,22 @@ def test_biom_over_many_lines(spark, tmp_path):
     )
     got = {tuple(r) for r in biom.read_biom_file(spark, str(tmp_path / "t.biom")).select("otu", "sample", "reads").collect()}
     assert got == {("o1", "s1", 3), ("o2", "s2", 4)}
+
+
+def test_trimming_looks_at_many_reads_together(spark):
+    rng = random.Random(12)
+    quals = [[rng.choice((12, 29, 31, 33, 38)) for _ in range(rng.choice((0, 3, 5, 40, 130)))] for _ in range(200)]
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(quals)] + [(-1, None)], "id int, qual array<int>")
+    found = rows.select("id", trim_window("qual", 30, 110, 5).alias("keep"))
+    # Letter by letter in an interpreted expression was slow.
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["keep"] for r in found.collect()}
+    assert got[-1] is None
+    for i, q in enumerate(quals):
+        q = q[:110]
+        good = [x for x, v in enumerate(q) if v >= 30]
+        want = (0, 0)
+        if good:
+            low = [x for x in range(good[0], good[-1] - 3) if sum(q[x : x + 5]) < 150]
+            want = (good[0] + 1, (low[0] if low else good[-1] + 1) - good[0])
+        assert tuple(got[i]) == want if good else got[i]["bases"] == 0

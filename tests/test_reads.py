@@ -161,6 +161,25 @@ def test_two_passes(spark):
         assert out[q] == want, q
 
 
+def test_search_and_assign(spark):
+    """The same as from the written hits; what leaves the tasks is a row for a query and block, not for a hit."""
+    refs = references()
+    asked = queries(refs)
+    names = [(n, s) for n, s in refs.items()] + [("copy", refs["r0"]), ("copy2", refs["r0"]), ("unnamed", refs["r1"]), ("null", refs["r2"])]
+    lin = [(n, ["root", "odd" if i % 2 else "even", n]) for i, n in enumerate(refs)] + [("copy", ["root", None, "r0"]), ("copy2", ["other"]), ("null", None)]
+    qdf, rdf = small_table(spark, "query string, seq string", asked.items()), small_table(spark, "ref string, seq string", names)
+    ldf = spark.createDataFrame(lin, "ref string, lineage array<string>")
+    want = sorted(map(tuple, assign.assign(qdf, assign.search(qdf, rdf), ldf).collect()))
+    assert sorted(map(tuple, assign.search_and_assign(qdf, rdf, ldf).collect())) == want and len({w[1] for w in want}) > 3
+    many = small_table(spark, "ref string, seq string", [(f"m{i}", refs["r0"]) for i in range(500)])
+    same = many.select("ref", F.array(F.lit("root"), "ref").alias("lineage"))
+    one = small_table(spark, "query string, seq string", [("q", refs["r0"])])
+    short, targets, named = assign._asked(one, many, 0.98, 0.8, 16, 4, True)
+    assert assign.matched_lineages(short, targets, named, same, 0.98, 0.8, 16).count() == 1
+    assert [tuple(r) for r in assign.search_and_assign(one, many, same).collect()] == [("q", "root", 1, 500)]
+    assert assign.search_and_assign(qdf, rdf.where("false"), ldf).where("hits > 0").count() == 0
+
+
 def test_common_lineage(spark):
     rows = [("a", ["x", "y", "z"]), ("a", ["x", "y", "w"]), ("b", ["x"]), ("c", ["x", "y"]), ("c", ["v", "y"])]
     df = spark.createDataFrame(rows, "query string, lineage array<string>")

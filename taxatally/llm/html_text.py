@@ -13,9 +13,9 @@ boilerplate. What the markup says counts too: text inside ``article`` or ``main`
 marked as menu, header, footer, sidebar, notice, advert, form or comment go even where a page has
 its own (``n_marked`` counts their words that no run covers).
 
-A host with many pages is cut into parts of about ``PART`` bytes of html by a hash of the page; each
-part is sorted by itself and what it finds is added up over the host. A host in one part is exact; in
-more, pages that copy each other are told within parts.
+A host with many pages is cut into parts of about ``PART`` bytes of html by a hash of the article, or of a
+page without one; each part is sorted by itself and what it finds, on one page or more, is added up over
+the host. Only copies among pages without an article are told within parts.
 
 A null or empty page has an empty text. Pages without a url, or whose url names no host, are one host.
 Repeated rows stay and equal pages count once. An empty table gives an empty result; extra columns are
@@ -174,8 +174,8 @@ def _families(page: np.ndarray, order: np.ndarray, common: np.ndarray, lengths:
     return np.array([top(i) for i in range(len(root))], dtype=np.int64)
 
 
-def repeated_runs(streams: list[tuple[np.ndarray, np.ndarray, np.uint64]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of the runs on two distinct pages or more, on how many they are, and the distinct pages.
+def repeated_runs(streams: list[tuple[np.ndarray, np.ndarray, np.uint64]], run: int = RUN, least: int = 2) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the runs on ``least`` distinct pages or more, on how many they are, and the distinct pages.
 
     A stream is tokens, which of them are marks, and the hash of the page's article. All places
     whose next ``run`` tokens are the same stand together in the order of suffixes.
@@ -202,7 +202,7 @@ def repeated_runs(streams: list[tuple[np.ndarray, np.ndarray, np.uint64]], run:
     groups, pages = np.unique(pairs[:, 0], return_counts=True)
     hash_of = np.zeros(int(group[-1]) + 1 if len(group) else 1, np.uint64)
     hash_of[group[whole]] = hashes[whole]
-    often = pages > 1
+    often = pages >= least
     return hash_of[groups[often]], pages[often], len(np.unique(family))
 
 
@@ -239,10 +239,11 @@ def boilerplate(rows: DataFrame, run: int = RUN, ratio: float = RATIO, least: in
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.uint64]] = []
-        now, last, size, parts = None, None, 0, 1
+        now, last, size, parts, whole = None, None, 0, 1, True
 
         def found() -> pa.RecordBatch:
-            hashes, pages, n = repeated_runs(held, run)
+            # What stands on one page here may stand on others elsewhere.
+            hashes, pages, n = repeated_runs(held, run, 2 if whole and parts == 1 else 1)
             out = [pa.array([now[0]] * (len(hashes) + 1), pa.string()), pa.array([parts] * (len(hashes) + 1), pa.int64()), pa.array([None, *hashes.view(np.int64).tolist()], pa.int64()), pa.array([n, *pages.tolist()], pa.int64())]
             held.clear()
             return pa.RecordBatch.from_arrays(out, ["host", "parts", "run", "pages"])
@@ -251,8 +252,10 @@ def boilerplate(rows: DataFrame, run: int = RUN, ratio: float = RATIO, least: in
             columns = batch.to_pydict()
             for host, part, n_parts, page, article, tokens, marks in zip(*(columns[c] for c in names), strict=True):
                 if held and ((host, part) != now or size > SORTED):
+                    same = (host, part) == now
+                    whole = whole and not same
                     yield found()
-                    size = 0
+                    size, whole = 0, not same
                 if (host, part, page) != last:  # equal pages count once
                     tokens = np.frombuffer(tokens, np.uint64)
                     held.append((tokens, np.unpackbits(np.frombuffer(marks, np.uint8), count=len(tokens)).astype(bool), np.int64(article).view(np.uint64)))
@@ -261,6 +264,8 @@ def boilerplate(rows: DataFrame, run: int = RUN, ratio: float = RATIO, least: in
         if held:
             yield found()
 
+    # Pages with the same article are one, so they go to one part.
+    streams = streams.withColumn("part", F.pmod(F.when(F.col("article") != 0, F.xxhash64("article")).otherwise(F.col("page")), F.col("parts")))
     dealt = streams.repartition("host", "part").sortWithinPartitions("host", "part", "page")
     each = dealt.mapInArrow(sort, "host string, parts long, run long, pages long")
     counts = stored(each.groupBy("host", "parts", "run").agg(F.sum("pages").alias("pages")), "run_counts")

@@ -121,6 +121,20 @@ def test_hosts_in_parts(spark):
         assert sorted((r.page_id, r.text) for r in got) == [(i, f"text number {i} {i * 7} {i * 11} and {i * 13}") for i in range(300)]
 
 
+def test_parts_do_not_change_the_text(spark):
+    """Runs that stand once in a part, and pages of one article, count over the whole host."""
+    own = lambda i: " ".join(f"own{i}x{j}" for j in range(30))
+    rare = "<div>a notice that three pages of the site show in many words</div>"
+    same = "<div>this stands around one article that four pages have in common</div>"
+    pages = [(i, "http://one.org/", f"<p>{own(i)}</p>" + (rare if i % 30 == 0 else "")) for i in range(90)]
+    pages += [(100 + i, "http://one.org/", f"{same}<article>one article</article><p>{own(100 + i)}</p>") for i in range(4)]
+    docs = spark.createDataFrame(pages, "page_id long, url string, html string")
+    whole, parts = ({tuple(r) for r in html_text.extract(docs, part_bytes=size).collect()} for size in (1 << 20, 600))
+    assert whole == parts
+    text = {r[0]: r[2] for r in parts}
+    assert all(text[i] == own(i) for i in range(90)) and all("this stands around" in text[100 + i] for i in range(4))
+
+
 def test_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]

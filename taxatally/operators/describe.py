@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType
 
 from taxatally.functions.numeric import ratio
 from taxatally.operators.ordering import approximate_quantiles, quantiles
+from taxatally.session import stored
 
 FIVE = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
 
@@ -101,9 +102,12 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 
 def boxplot(df: DataFrame, value: str, by: list[str], exact: bool = True) -> DataFrame:
-    """Box-plot figures per group: quartiles, whiskers within 1.5 IQR, number of outliers."""
+    """Box-plot figures per group: quartiles, whiskers within 1.5 IQR, number of outliers.
+
+    Quartiles are stored, so Spark knows that they are few and doesn't move the rows of a group to one task.
+    """
     find = quantiles if exact else approximate_quantiles
-    quarts = find(df, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}, by)
+    quarts = stored(find(df, value, {"q25": 0.25, "median": 0.5, "q75": 0.75}, by), "quartiles")
     fence = 1.5 * (F.col("q75") - F.col("q25"))
     rows = df.where(F.col(value).isNotNull()).join(quarts, by)
     inside = F.col(value).between(F.col("q25") - fence, F.col("q75") + fence)

@@ -15,8 +15,11 @@ from taxatally.session import stored
 
 
 def levene(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row: F of an analysis of variance on distances from the group median."""
-    medians = quantiles(df, value, {"_median": 0.5}, [group])
+    """One row: F of an analysis of variance on distances from the group median.
+
+    Medians are stored, so Spark knows that they are few and doesn't move the rows of a group to one task.
+    """
+    medians = stored(quantiles(df, value, {"_median": 0.5}, [group]), "medians")
     rows = df.where(F.col(value).isNotNull()).join(medians, group)
     distance = F.abs(F.col(value) - F.col("_median"))
     groups = rows.groupBy(group).agg(

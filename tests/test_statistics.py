@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxatally.functions import distributions as dist
-from taxatally.operators import glm, glmm, ordering, rank_tests
+from taxatally.operators import describe, glm, glmm, ordering, rank_tests
 from taxatally.operators.glm import Factor, Nested
 from taxatally.session import small_table
 
@@ -146,3 +146,12 @@ def test_pair_counts_beyond_a_bigint(spark):
 
     side = lambda v: spark.createDataFrame([(v, 8_000_000_000)], "value double, n bigint")
     assert _pairs_at_most(side(1.0), side(0.0), [0.5, 1.5], [0.5]) == {0.5: 0, 1.5: 64 * 10**18}
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_rows_of_few_groups_stay_where_they_are(spark, exact):
+    """Each row meets the median or quartiles of its group without a shuffle by group."""
+    rows = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.hash("id") % 1000).cast("double").alias("v"))
+    for df in (rank_tests.levene(rows, "v", "g"), describe.boxplot(rows, "v", ["g"], exact)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

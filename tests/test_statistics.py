@@ -152,6 +152,9 @@ def test_pair_counts_beyond_a_bigint(spark):
 def test_rows_of_few_groups_stay_where_they_are(spark, exact):
     """Each row meets the median or quartiles of its group without a shuffle by group."""
     rows = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.hash("id") % 1000).cast("double").alias("v"))
-    for df in (rank_tests.levene(rows, "v", "g"), describe.boxplot(rows, "v", ["g"], exact)):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (rank_tests.levene(rows, "v", "g"), describe.boxplot(rows, "v", ["g"], exact))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in plans)

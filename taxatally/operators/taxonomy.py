@@ -82,18 +82,22 @@ def common_ancestors(hits: DataFrame, nodes: DataFrame, ranks: Sequence[str] | N
     even where unranked nodes lie between. Without any the query is ``unassigned`` at depth 0.
     ``depth`` counts the nodes from the root.
 
-    Every taxon of a query is sent up once, however many hits name it, and counts are added up
-    before they meet, so a query with very many hits is spread over all tasks.
+    Every taxon of a query is sent up once, however many hits name it, to ancestors of these ranks
+    only, and counts are added up before they meet, so a query with very many hits is spread over all
+    tasks. Distinct taxa are stored, so no task makes them distinct and sends them up at once.
     """
     up = ancestors(nodes) if up is None else up
     depth = up.groupBy("taxid").agg(F.count("*").alias("depth"))
-    pairs = hits.select("query", "taxid").join(nodes.select("taxid").distinct(), "taxid", "left_semi").distinct()
-    above = pairs.join(up, "taxid").groupBy("query", "ancestor").agg(F.count("*").alias("under"))
-    taxa = pairs.groupBy("query").agg(F.count("*").alias("taxa"))
-    shared = above.join(taxa, "query").where(F.col("under") == F.col("taxa"))
+    known = nodes.select("taxid").distinct()
+    pairs = stored(hits.select("query", "taxid").distinct().join(known, "taxid", "left_semi"), "pairs")
     named = nodes.select(F.col("taxid").alias("ancestor"), "rank", "name").join(depth.withColumnRenamed("taxid", "ancestor"), "ancestor")
+    ways = up.select("taxid", "ancestor")
     if ranks is not None:
         named = named.where(F.col("rank").isin(*ranks))
+        ways = ways.join(nodes.where(F.col("rank").isin(*ranks)).select(F.col("taxid").alias("ancestor")).distinct(), "ancestor", "left_semi")
+    above = pairs.join(stored(ways, "ways"), "taxid").groupBy("query", "ancestor").agg(F.count("*").alias("under"))
+    taxa = pairs.groupBy("query").agg(F.count("*").alias("taxa"))
+    shared = above.join(taxa, "query").where(F.col("under") == F.col("taxa"))
     lowest = shared.join(named, "ancestor").groupBy("query").agg(F.max(F.struct("depth", "ancestor", "rank", "name")).alias("low"))
     rows = hits.select("query").distinct().join(taxa, "query", "left").join(lowest, "query", "left")
     return rows.select(

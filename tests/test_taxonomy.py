@@ -5,7 +5,7 @@ import random
 import pytest
 
 from taxatally.operators import taxonomy
-from taxatally.session import small_table
+from taxatally.session import small_table, stored
 
 RANKS = ["root", "class", "family", "no rank", "genus", "species"]
 
@@ -74,3 +74,21 @@ def test_circle(spark):
     nodes = table(spark, [(1, 2, "x", "a"), (2, 3, "x", "b"), (3, 1, "x", "c"), (4, None, "x", "d")])
     with pytest.raises(ValueError):
         taxonomy.ancestors(nodes)
+
+
+def test_only_ancestors_of_the_ranks_meet_the_queries(spark, monkeypatch):
+    """Taxa of a query are stored distinct, and sent up to nodes of the ranks only."""
+    kept = {}
+
+    def keep(df, label="table", partition_by=()):
+        kept[label] = stored(df, label, partition_by)
+        return kept[label]
+
+    monkeypatch.setattr(taxonomy, "stored", keep)
+    nodes = tree()
+    hits = [(q, t) for q in range(3) for t in (7, 7, 369, 777777)]
+    taxonomy.common_ancestors(small_table(spark, "query bigint, taxid bigint", hits), table(spark, nodes), ["genus", "family"]).collect()
+    rank = {t: r for t, _, r, _ in nodes}
+    assert sorted(map(tuple, kept["pairs"].select("query", "taxid").collect())) == [(q, t) for q in range(3) for t in (7, 369)]
+    ways = [tuple(r) for r in kept["ways"].select("taxid", "ancestor").collect()]
+    assert sorted(ways) == sorted((t, a) for t in rank for a in walk(nodes, t) if rank[a] in ("genus", "family"))

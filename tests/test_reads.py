@@ -274,3 +274,16 @@ def test_trimming_looks_at_many_reads_together(spark):
             low = [x for x in range(good[0], good[-1] - 3) if sum(q[x : x + 5]) < 150]
             want = (good[0] + 1, (low[0] if low else good[-1] + 1) - good[0])
         assert tuple(got[i]) == want if good else got[i]["bases"] == 0
+
+
+def test_fastq_files_hold_a_bounded_number_of_reads(spark, tmp_path):
+    """A compressed file is read by one task; its lines are put together without its path."""
+    df = spark.range(1000).coalesce(1).select(F.col("id").alias("read_id"), F.lit("acgt").alias("seq"), F.array(*[F.lit(q) for q in (31, 2, 30, 9)]).alias("qual"))
+    fasta.write_fastq(df, str(tmp_path / "out"), most=300)
+    assert len(list((tmp_path / "out").glob("*.gz"))) == 4
+    found = fasta.read_fastq(spark, str(tmp_path / "out"))
+    rows = found.collect()
+    assert sorted(int(r.read_id) for r in rows) == list(range(1000)) and {(r.seq, tuple(r.qual)) for r in rows} == {("acgt", (31, 2, 30, 9))}
+    assert all(r.file.endswith(".gz") for r in rows) and len({r.file for r in rows}) == 4
+    plan = found.drop("file")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[1].strip().startswith("+- Filter") and "file" not in plan.split("+- Join")[0]

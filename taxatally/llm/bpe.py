@@ -23,17 +23,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import bound_batches, tidy
+from .words import LEAN, bound_batches, tidy
 
 #: Pre-token pattern of byte-level vocabularies. Fixed value: it must equal that of the file's library.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 #: Distinct pre-tokens that a task remembers from batch to batch; only saves work.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 #: Places that are looked up at once when the index is made.
-STEP = 1 << 18
-#: Bytes of texts that are encoded together.
-GATHER = 8 << 20
+STEP = 1 << 16
+#: Bytes of texts that are encoded together, and of ids that leave a task together. A worker of the
+#: first stages holds about 80 MB already when this one begins, and an executor has several.
+GATHER, OUT = 1 << 20, 1 << 19
 
 
 def byte_characters() -> list[str]:
@@ -153,18 +154,16 @@ class Bpe:
 
     def encode(self, texts: Iterable[str], known: dict[str, bytes]) -> Iterator[bytes]:
         """Ids of every text; ``known`` keeps the ids of pre-tokens seen before."""
-        texts = list(texts)
-        fresh: set[str] = set()
-        for text in texts:
-            fresh.update(self.words(text))
+        cut = [self.words(text) for text in texts]
+        fresh = set().union(*cut)
         fresh.difference_update(known)
         for token, i in self.special.items():
             known[token] = np.array([i], dtype="<u4").tobytes()
             fresh.discard(token)
         new = list(fresh)
         known.update(zip(new, self.encode_words(new), strict=True))
-        for text in texts:
-            yield b"".join(map(known.__getitem__, self.words(text)))
+        for words in cut:
+            yield b"".join(map(known.__getitem__, words))
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, the strings of added tokens included."""
@@ -184,8 +183,9 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         size += batch.nbytes
         if size >= GATHER:
-            yield pa.concat_batches(held)
-            held, size = [], 0
+            whole, held, size = pa.concat_batches(held), [], 0
+            yield whole
+            del whole
     if held:
         yield pa.concat_batches(held)
 
@@ -203,7 +203,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             for at, found in enumerate(bpe.encode(texts, known), 1):
                 ids.append(found)
                 held += len(found)
-                if held > 1 << 21 or at == len(texts):
+                if held > OUT or at == len(texts):
                     columns = [batch.column(0).slice(first, at - first), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
                     ids, held, first = [], 0, at
@@ -212,7 +212,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         known.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return bound_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, ids binary, decoded string")
+    return bound_batches(docs, LEAN).select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, ids binary, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

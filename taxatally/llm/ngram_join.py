@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .components import components
-from .words import bound_batches, fresh, mix, shingle_sets, tidy
+from .words import LEAN, bound_batches, fresh, mix, shingle_sets, tidy
 
 #: Agreements of minima that make a candidate for a star, and minima in each.
 KEYS, MINIMA = 6, 3
@@ -49,7 +49,7 @@ STRETCH, SHARE, LEAST = 1 << 20, 256, 8
 #: a block. A star of many blocks costs as many block pairs.
 NEAR, BLOCK = 60, 1024
 #: Bytes of sets in a batch that leaves a task, and rows that a task holds before it passes them on.
-OUT, HOLD = 1 << 22, 1 << 17
+OUT, HOLD = 1 << 20, 1 << 17
 #: Buckets of doc_ids by which a scan drops most documents that it doesn't need; at most so many
 #: rows are broadcast.
 BUCKETS = 1 << 20
@@ -399,7 +399,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
     ``row`` is a hash of the text. ``node`` and ``root`` are null for texts without words.
     """
     link = f"100 * shared >= {percent} * (size_a + size_b - shared)"
-    every = stored(_profiles(bound_batches(docs), n, lower), "profiles")
+    every = stored(_profiles(bound_batches(docs, LEAN), n, lower), "profiles")
     profiles = every.filter("what = 0")
     ranked = every.filter("what = 1").groupBy("node").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "node").limit(COMMON)
     common = np.sort(ranked.select("node").toArrow().column(0).to_numpy().view(np.uint64))
@@ -433,7 +433,8 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80, lower: bool = True)
 
     # The count only decides on the order.
     common = np.union1d(common, _long_lists(docs, common, percent, n, lower))
-    prefixes = _prefixes(docs, common, percent, n, lower).join(in_star.drop("radius"), "node", "left")
+    # A broadcast would put the Python of prefixes and that of postings into one task, with a worker each.
+    prefixes = _prefixes(docs, common, percent, n, lower).join(in_star.drop("radius").hint("merge"), "node", "left")
     prefixes = prefixes.select(*(F.coalesce(x, F.col(y)).alias(x) for x, y in (("star", "node"), ("low", "size"), ("high", "size"))), "tokens")
     meetings = stored(_meetings(_postings(prefixes), percent), "meetings")
     met = _compared(docs, meetings, nodes, n, lower)

@@ -19,8 +19,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 PIECE = 1 << 20
-#: Bytes of an Arrow batch of texts; by rows alone a batch of long texts has no bound.
-BATCH = 4 << 20
+#: Bytes of an Arrow batch of texts; by rows alone a batch of long texts has no bound. ``LEAN`` is for tasks
+#: that run where other steps have filled the executor's memory before; Spark keeps batches outside its heap.
+BATCH, LEAN = 4 << 20, 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,9 +30,9 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def bound_batches(docs: DataFrame) -> DataFrame:
+def bound_batches(docs: DataFrame, size: int = BATCH) -> DataFrame:
     """Have Spark cut the batches it sends to tasks by bytes too; returns ``docs`` as it is."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return docs
 
 
@@ -46,17 +47,22 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow, with freed memory given back to the system before and after.
 
-    A Python worker serves many tasks, and what one has freed would stay with it otherwise.
+    A Python worker serves many tasks, and what one has freed would stay with it otherwise. What
+    leaves the task is cut into batches of about ``LEAN`` bytes, of one row at least.
     """
 
     def give_back() -> None:
+        _Powers.drop()
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # there is no such call outside of glibc
             ctypes.CDLL("libc.so.6").malloc_trim(0)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
-        yield from run(batches)
+        for out in run(batches):
+            rows = max(1, len(out) * LEAN // max(LEAN, out.nbytes))
+            for first in range(0, max(1, len(out)), rows):
+                yield out.slice(first, rows)
         give_back()
 
     return task
@@ -83,13 +89,18 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse, kept at the longest length asked for so far."""
+    """Powers of the base and of its inverse for a piece, from the first use in a task to its end."""
 
-    up = _powers(PIECE + 1, _BASE)
-    down = _powers(PIECE + 1, _INVERSE)
+    up = down = np.empty(0, np.uint64)
+
+    @classmethod
+    def drop(cls) -> None:
+        cls.up = cls.down = np.empty(0, np.uint64)
 
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if not len(cls.up):
+            cls.up, cls.down = _powers(PIECE + 1, _BASE), _powers(PIECE + 1, _INVERSE)
         if n > len(cls.up):
             return _powers(n, _BASE), _powers(n, _INVERSE)
         return cls.up[:n], cls.down[:n]
